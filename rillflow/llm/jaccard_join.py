@@ -41,6 +41,25 @@ SMALL_BLOCK, CELL = 128, 400
 FREQUENT, FREQUENT_PART = 32, 1e-4
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of these links to keep so that they join the same nodes: never more than nodes."""
+    nodes, back = np.unique(np.concatenate((a, b)), return_inverse=True)
+    parent, keep = list(range(len(nodes))), np.zeros(len(a), dtype=bool)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, (x, y) in enumerate(zip(back[: len(a)].tolist(), back[len(a) :].tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
 class Threshold:
     """links when den * |intersection| >= num * |union|, as whole numbers."""
 
@@ -130,8 +149,11 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> n
     return out
 
 
-def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = None, text: str = "text", doc_id: str = "doc_id"):
-    """(points: doc_id, node, n_shingles of each row; links: a, b nodes and d, their distance; of dense balls only the links to the pivot)."""
+def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = None, text: str = "text", doc_id: str = "doc_id", spanning: bool = True):
+    """(points: doc_id, node, n_shingles of each row; links: a, b nodes and d, their distance).
+
+    Of a pivot's ball only the links to the pivot are given; with spanning, of two cells only as many as join the same points.
+    """
     limit = limit or Threshold()
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -302,6 +324,9 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
             x, y = np.nonzero(limit.links(common, na[:, None], nb[None, :]))
             keep = left[x] != right[y]
             x, y = x[keep], y[keep]
+            if spanning:
+                keep = forest(left[x], right[y])
+                x, y = x[keep], y[keep]
             out_a, out_b, out_d = left[x], right[y], 1 - common[x, y] / (na[x] + nb[y] - common[x, y])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "d": pa.array(out_d, pa.float64())})
 
@@ -311,12 +336,11 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, limit: Threshold | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), n_links of the document's set."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
     points, links = jaccard_links(docs, shingle, limit, text, doc_id)
     comp = components(links.select("a", "b"))
-    degree = links.select(F.col("a").alias("node"), F.col("b").alias("o")).union(links.select("b", "a")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     low = points.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     joined = low.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    nodes = joined.join(ids, "component").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return points.join(nodes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = joined.join(ids, "component").select("node", "component_id")
+    return points.join(nodes, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
