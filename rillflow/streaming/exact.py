@@ -1,0 +1,111 @@
+"""Pumps over streams with the exact per-row rules, as stateful operators.
+
+The watermark belongs to the whole operator, so its state has one key and one task: a fast stream should be cut
+into several pipelines by a key. Projections stay ordinary Spark expressions on either side of it.
+"""
+
+from __future__ import annotations
+
+import pickle
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..errors import SqlError
+from ..functions.expressions import compile_expression, equalities
+from ..plans.compiler import Plan
+from ..plans.parser import Avg
+from .machine import Machine, close_average, close_join
+
+
+def _run(df: DataFrame, schema: T.StructType, window, unpack, close) -> DataFrame:
+    names = schema.fieldNames()
+
+    def step(key, frames, state):
+        machine = Machine(window, pickle.loads(state.get[0]) if state.exists else None)
+        rows = [r for f in frames for r in f.itertuples(index=False)]
+        rows.sort(key=lambda r: list(r.seq))
+        out = []
+        for r in rows:
+            for o, own in machine.offer(r.rt, unpack(r)):
+                out += close(o, own)
+        state.update((pickle.dumps(machine.state()),))
+        yield pd.DataFrame(out, columns=names)
+
+    return df.withColumn("one", F.lit(0)).groupBy("one").applyInPandasWithState(step, schema, "state binary", "append", "NoTimeout")
+
+
+def _tuple(x):
+    return pickle.dumps(tuple(x))
+
+
+def stream(plan: Plan, frames: dict[str, DataFrame]) -> DataFrame:
+    """As Plan.batch, over streaming frames."""
+    p, w = plan.pump, plan.pump.window
+    df = frames[p.source[0]]
+    if p.join:
+        df = _join(plan, df, frames[p.join[0]])
+    if not plan.aggregates:
+        return plan.insert(df, [compile_expression(e, plan.scope)[0] for e, _ in p.select])
+    keys = [compile_expression(e, plan.scope)[0].alias(f"k{i}") for i, e in enumerate(plan.keys)]
+    value = compile_expression(plan.aggregates[0].of, plan.scope)[0].cast("double").alias("v")
+    rows = df.select(F.col("__rt").alias("rt"), F.col("__seq").alias("seq"), F.struct(F.lit(0).alias("_"), *keys).alias("k"), value)
+    kind = rows.schema["k"].dataType
+    out_schema = T.StructType([T.StructField("open", T.LongType()), *[T.StructField(f.name, f.dataType) for f in kind.fields[1:]], T.StructField("avg", T.DoubleType())])
+    flat = rows.select("rt", "seq", "k.*", "v")
+    names = [f.name for f in kind.fields[1:]]
+
+    def unpack(r):
+        return tuple(getattr(r, n) for n in names), None if pd.isna(r.v) else r.v
+
+    def close(o, own):
+        return [(o, *k, v) for k, v in close_average(own)]
+
+    out = _run(flat.drop("_"), out_schema, w, unpack, close)
+    out = out.withColumn("__rt", F.col("open")).withColumn("__seq", F.array(F.col("open") + w.length))
+    return plan.insert(out, [F.col("avg").cast("float") if isinstance(e, Avg) else F.col(f"k{plan.keys.index(e)}") for e, _ in p.select])
+
+
+def _join(plan: Plan, left: DataFrame, right: DataFrame) -> DataFrame:
+    pairs = equalities(plan.pump.join[2])
+    if pairs is None:
+        raise SqlError("over streams, ON is made of equalities")
+    (ls, rs), names = (plan.source, plan.right), (plan.pump.source[1], plan.pump.join[1])
+    sides = []
+    for i, (df, s) in enumerate(((left, ls), (right, rs))):
+        own = df.select("__rt", "__seq", F.struct(*[F.col(f"`{c.name}`") for c in s.columns]).alias("lr"[i]))
+        keys = [x if names[i] in _streams(x) else y for x, y in pairs]
+        if any(_streams(x) & _streams(y) or len(_streams(x) | _streams(y)) != 2 for x, y in pairs):
+            raise SqlError("over streams, ON compares one side with the other")
+        parts = [compile_expression(k, plan.scope)[0].cast("string") for k in keys]
+        null = parts[0].isNull()
+        for c in parts[1:]:
+            null = null | c.isNull()
+        key = F.when(~null, F.to_json(F.array(*parts)))
+        own = own.alias("t").select(F.col("__rt").alias("rt"), F.concat("__seq", F.array(F.lit(i).cast("bigint"))).alias("seq"), F.lit(i).alias("side"), key.alias("key"), F.to_json(F.col("lr"[i]), {"ignoreNullFields": "false"}).alias("payload"))
+        sides.append(own)
+    schema = T.StructType([T.StructField("open", T.LongType()), T.StructField("rt", T.LongType()), T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("l", T.StringType()), T.StructField("r", T.StringType())])
+
+    def unpack(r):
+        return int(r.side), (r.rt, list(r.seq)), r.key, r.payload
+
+    def close(o, own):
+        return [(o, rt, seq, n, a, b) for n, ((rt, seq), a, b) in enumerate(close_join(own))]
+
+    out = _run(sides[0].unionByName(sides[1]), schema, plan.pump.window, unpack, close)
+    kinds = [T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name in {c.name for c in s.columns}]) for df, s in ((left, ls), (right, rs))]
+    return out.select(F.from_json("l", kinds[0]).alias("l"), F.from_json("r", kinds[1]).alias("r"), F.col("rt").alias("__rt"), F.concat(F.array(F.col("open") + plan.pump.window.length), "seq", F.array("n")).alias("__seq"))
+
+
+def _streams(e) -> set[str]:
+    from ..plans.parser import Bin, Call, Col, Neg
+
+    if isinstance(e, Col):
+        return {e.stream}
+    if isinstance(e, Neg):
+        return _streams(e.of)
+    if isinstance(e, Bin):
+        return _streams(e.left) | _streams(e.right)
+    return set().union(*(_streams(x) for x in e.args)) if isinstance(e, Call) else set()

@@ -1,0 +1,59 @@
+"""The window rules row by row: one watermark for an operator, moved by every row it accepts."""
+
+from __future__ import annotations
+
+from ..plans.parser import Window
+
+
+class Machine:
+    """Keeps open panes of rows. offer() drops a late row, else returns the panes that the row's watermark closes."""
+
+    def __init__(self, window: Window, state=None):
+        self.w = window
+        self.top, self.panes = state or (None, {})
+
+    def state(self):
+        return self.top, self.panes
+
+    def opens(self, rt: int) -> list[int]:
+        last = rt - rt % self.w.period
+        return [o for o in range(last, rt - self.w.length, -self.w.period)]
+
+    def offer(self, rt: int, row) -> list[tuple[int, list]]:
+        if self.top is not None and rt < self.top - self.w.delay:
+            return []
+        self.top = rt if self.top is None else max(self.top, rt)
+        for o in self.opens(rt):
+            self.panes.setdefault(o, []).append(row)
+        done = sorted(o for o in self.panes if o + self.w.length <= self.top - self.w.delay)
+        return [(o, self.panes.pop(o)) for o in done]
+
+
+def average(values: list[float]) -> float | None:
+    """To whole numbers, halves away from zero; None of none."""
+    values = [v for v in values if v is not None]
+    if not values:
+        return None
+    m = sum(values) / len(values)
+    return float(int(abs(m) + 0.5)) * (1 if m >= 0 else -1)
+
+
+def close_average(rows: list[tuple]) -> list[tuple]:
+    """rows: (keys, value). (keys, average) of each group."""
+    groups: dict[tuple, list] = {}
+    for keys, v in rows:
+        groups.setdefault(keys, []).append(v)
+    return [(k, average(v)) for k, v in groups.items()]
+
+
+def close_join(rows: list[tuple]) -> list[tuple]:
+    """rows: (side, seq, key or None, payload). (left seq, left payload, right payload or None), by left then right arrival."""
+    right: dict = {}
+    for side, _, key, payload in rows:
+        if side == 1 and key is not None:
+            right.setdefault(key, []).append(payload)
+    out = []
+    for side, seq, key, payload in rows:
+        if side == 0:
+            out += [(seq, payload, other) for other in (right.get(key) if key is not None else None) or [None]]
+    return out
