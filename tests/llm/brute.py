@@ -176,7 +176,7 @@ def lines(rows, most=2, least=24):
                 low[x], low[y] = min(low[x], firsts[y]), min(low[y], firsts[x])
     out = []
     for i, t in rows:
-        ls = (t or "").split("\n") if t else []
+        ls = t.split("\n") if t is not None else []
         keep = [x for p, x in enumerate(ls) if len(x) < least or low[x] >= (inf if i is None else i, p)]
         out.append((i, len(ls), len(ls) - len(keep), sha("\n".join(keep))))
     return out
