@@ -17,7 +17,7 @@ _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 #: Largest piece of text, in bytes, that is tokenised at once (one document at least).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:

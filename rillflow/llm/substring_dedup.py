@@ -216,7 +216,7 @@ def _tokens(part: pa.RecordBatch, size: int, k: int):
 def repeats(docs: DataFrame, size: int, k: int):
     """Sorted arrays of the segments that repeat: key, check and runs (first window, end window, smallest doc_id: int64 triples)."""
     spark = docs.sparkSession
-    shards = n_buckets(spark, 8)  # an index takes about 200 bytes a word
+    shards = n_buckets(spark, 16)  # an index takes about 200 bytes a word
 
     def find(batches):
         for batch in batches:
