@@ -5,8 +5,8 @@ shorter lines stay. Equal lines are one line with its earliest place. A line is
 two lines within `most` edits share at least one segment whole, at a place that the number of edits bounds. So
 segments are indexed by (length of the line, which segment, its text), and a line probes, for each length from
 its own down to its own less `most`, only the substrings whose place fits both ends of the edits (the
-multi-match-aware selection). Index and probes meet by hash in buckets; pairs that meet are verified with a
-banded bit-parallel edit distance.
+multi-match-aware selection). Index and probes meet by hash in buckets. Pairs that meet must have character
+counts that so few edits can bring together, and are then verified with a banded bit-parallel edit distance.
 
 Candidates' texts come from sorted arrays in the shared folder, where only lines that met another are kept, and
 a last pass over the documents looks its lines up there: texts are read three times and never shuffled.
@@ -112,6 +112,17 @@ def line_keys(lines: list[str]) -> np.ndarray:
     return np.fromiter((_hash(x) for x in lines), dtype=np.uint64, count=len(lines))
 
 
+def counts(line: str) -> np.ndarray:
+    """How many characters of each of eight classes a line has, modulo 256: an edit changes two of them by one at most."""
+    return np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 7, minlength=8).astype(np.uint8)
+
+
+def near_counts(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Rows whose counts allow `most` edits."""
+    d = (a - b).astype(np.int64)
+    return np.minimum(d, 256 - d).sum(axis=1) <= 2 * most
+
+
 def line_lows(docs: DataFrame, most: int, least: int):
     """Sorted arrays: key of each long line that repeats or has a near one, and the earliest place (id, pos) of it or of them."""
     spark = docs.sparkSession
@@ -143,7 +154,7 @@ def line_lows(docs: DataFrame, most: int, least: int):
     def segments(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, ids = [], []
+            keys, ids, shapes, times = [], [], [], []
             if len(seen) > 1_000_000:
                 seen = set()
             for _, _, x in lines(batch):
@@ -151,7 +162,7 @@ def line_lows(docs: DataFrame, most: int, least: int):
                 if own in seen:
                     continue
                 seen.add(own)
-                n = len(x)
+                n, before = len(x), len(keys)
                 for i, (s, size) in enumerate(parts(n, most)):
                     keys.append(_hash(f"{n} {i} {x[s : s + size]}"))
                     ids.append(own << 1)
@@ -159,29 +170,47 @@ def line_lows(docs: DataFrame, most: int, least: int):
                     for i, s, size in probes(n, m, most):
                         keys.append(_hash(f"{m} {i} {x[s : s + size]}"))
                         ids.append(own << 1 | 1)
+                shapes.append(counts(x))
+                times.append(len(keys) - before)
             if keys:
                 k = np.array(keys, dtype=np.uint64)
                 both = np.array([v >> 1 for v in ids], dtype=np.uint64)
                 side = np.fromiter((v & 1 for v in ids), dtype=np.uint8, count=len(ids))
-                yield _chunks(bucket_of(k, n_b), [k, both, side], n_b)
+                shape = np.ascontiguousarray(np.repeat(np.stack(shapes), times, axis=0)).view(np.uint64)[:, 0]
+                yield _chunks(bucket_of(k, n_b), [k, both, shape, side], n_b)
 
     def meet(group: pa.Table) -> pa.Table:
-        k, own, side = unpack(group.column("blob").to_pylist(), [np.uint64, np.uint64, np.uint8])
-        order = np.lexsort((own, side, k))
-        k, own, side = k[order], own[order], side[order]
+        k, own, shape, side = unpack(group.column("blob").to_pylist(), [np.uint64, np.uint64, np.uint64, np.uint8])
+        shape = np.ascontiguousarray(shape).view(np.uint8).reshape(-1, 8)
+        order = np.lexsort((own, shape[:, 0], side, k))
+        k, own, shape, side = k[order], own[order], shape[order], side[order]
         once = np.ones(len(k), dtype=bool)
         once[1:] = (k[1:] != k[:-1]) | (side[1:] != side[:-1]) | (own[1:] != own[:-1])
-        k, own, side = k[once], own[once], side[once]
+        k, own, shape, side = k[once], own[once], shape[once], side[once]
         cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
         end = np.append(cut[1:], len(k))
         probe_at = np.add.reduceat((side == 0).astype(np.int64), cut) + cut if len(cut) else cut
         a, b = [], []
         for lo, mid, hi in zip(cut.tolist(), probe_at.tolist(), end.tolist(), strict=True):
             if mid > lo and hi > mid and (mid - lo > 1 or hi - mid > 1 or own[lo] != own[mid]):
-                x, y = np.repeat(own[lo:mid], hi - mid), np.tile(own[mid:hi], mid - lo)
-                keep = x != y
-                a.append(np.minimum(x[keep], y[keep]))
-                b.append(np.maximum(x[keep], y[keep]))
+                # a line is compared with those whose first count is near, a bounded number of pairs at a time
+                step = max(1, 500_000 // (mid - lo))
+                for at in range(mid, hi, step):
+                    rows = np.arange(at, min(at + step, hi))
+                    if mid - lo < 64:
+                        x, y = np.tile(np.arange(lo, mid), len(rows)), np.repeat(rows, mid - lo)
+                    else:
+                        first, c = shape[lo:mid, 0].astype(np.int64), shape[rows, 0].astype(np.int64)
+                        left, right = np.searchsorted(first, c - 2 * most), np.searchsorted(first, c + 2 * most, side="right")
+                        wraps = (c < 2 * most) | (c > 255 - 2 * most)
+                        left, right = np.where(wraps, 0, left), np.where(wraps, mid - lo, right)
+                        n = right - left
+                        y = np.repeat(rows, n)
+                        x = lo + np.repeat(left, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    ok = (own[x] != own[y]) & near_counts(shape[x], shape[y], most)
+                    x, y = own[x[ok]], own[y[ok]]
+                    a.append(np.minimum(x, y))
+                    b.append(np.maximum(x, y))
         pair = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0) if a else np.empty((0, 2), np.uint64)
         return pa.table({"a": signed(np.ascontiguousarray(pair[:, 0])), "b": signed(np.ascontiguousarray(pair[:, 1]))})
 
