@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import pieces, text_buffers
-from ._train import Adam
+from ._train import Adam, smallest
 
 MOST_ROWS, WINDOW, WIDTHS, FILTERS, WINDOWS_OF_A_TEXT = 2000, 128, (2, 3, 4), 12, 4
 TAIL = max(WIDTHS) - 1
@@ -129,9 +129,11 @@ def fit_texts(texts: list[str], langs: list[str], epochs: int = 12) -> Model | N
 
 
 def fit(docs: DataFrame, most: int = MOST_ROWS, text: str = "text", lang: str = "lang") -> Model | None:
-    """Learns from at most `most` rows; of each text the first WINDOWS_OF_A_TEXT windows."""
-    few = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.substring(text, 1, WINDOW * WINDOWS_OF_A_TEXT).alias("t"), F.col(lang).alias("l"), F.xxhash64("doc_id").alias("h"))
-    rows = few.orderBy("h", "t").limit(most).toPandas()
+    """Learns from at most `most` rows, less those without a letter; of each text the first WINDOWS_OF_A_TEXT windows.
+
+    Rows are chosen by doc_id and lang alone, so only the chosen texts leave the scan."""
+    known = docs.filter(F.col(lang).isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.substring(text, 1, WINDOW * WINDOWS_OF_A_TEXT).alias("t"), F.col(lang).alias("l"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    rows = smallest(known, "h", most).filter("letter").toPandas()
     return fit_texts(rows["t"].tolist(), rows["l"].tolist())
 
 
