@@ -159,9 +159,13 @@ def fit(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
         size = 0
 
         def flush():
-            cols, c = count_unique([np.concatenate([x[j] for x in held]) for j in range(order)])
+            whole = [np.concatenate([x[j] for x in held]) for j in range(order)]
+            held.clear()
+            last = whole[-1]
+            cols, c = count_unique(whole)
+            del whole
             yield _chunks(bucket_of(context(cols), n), [*cols, c.astype(np.uint32)], n)
-            last = np.concatenate([x[-1] for x in held])
+            del cols
             (w,), c = count_unique([last])
             out = _chunks(bucket_of(mix(w), n), [w, c.astype(np.uint32)], n)
             yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + n, pa.int32()), out.column(1)], names=["_b", "blob"])
@@ -241,7 +245,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "_scan", 1 << 21):
+            for part in pieces(batch, "_scan", 1 << 19):
                 h, start, n = tokens(part, model.order, "_scan")
                 at = windows(h, start, n)
                 p, raw = model.probabilities(h, at)
