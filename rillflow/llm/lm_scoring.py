@@ -1,8 +1,8 @@
 """An interpolated modified Kneser-Ney n-gram model, counted in Spark and kept as sorted hash arrays.
 
 Tokens are lower-cased (A-Z) words and one end per text; a text is padded in front with order - 1 begins. Each
-task counts its n-grams with sorts and deals them by the hash of their context, so a bucket has all
-continuations of its contexts: it writes two sorted arrays to the shared folder (n-gram hash with its count,
+task counts its n-grams with sorts and deals them, packed as numbers of its words, by the hash of their context, so a
+bucket has all continuations of its contexts: it writes two sorted arrays to the shared folder (n-gram hash with its count,
 context hash with total and numbers of continuations seen once, twice and more) and hands on its distinct
 n-grams, from which the next lower order counts continuations. The discounts come from the counts of counts,
 of which there are four an order. Workers map the arrays into memory and look sorted hashes up in them; what a
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from ._spark import array_folder, n_buckets, save_array, table
 from ._store import bucket_of
 from ._text import NOT_SPACE, U64, combine, mix, pieces, signed, words
-from .jaccard_join import _chunks, unpack
 
 END, BEGIN = U64(0xE4D0E4D0E4D0E4D1), U64(0xBE61BE61BE61BE61)
 #: N-grams that a task counts at once.
 HELD = 3_000_000
+#: N-grams of one row that is handed on.
+MOST_PACKED = 1 << 18
 _STATS = "k int, n1 long, n2 long, n3 long, n4 long, grams long, total long"
 
 
@@ -56,16 +57,85 @@ def windows(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def count_unique(cols: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, in the order of their contexts, with their numbers."""
-    order = np.argsort(cols[0], kind="stable") if len(cols) == 1 else np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
-    cut = np.flatnonzero(new)
+    """Distinct rows, in the order of their hashes, with their numbers."""
+    key = cols[0] if len(cols) == 1 else combine(cols, seed=22)
+    order = np.argsort(key)
+    key = key[order]
+    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
     counts = np.diff(np.append(cut, len(order))) if n is None else np.add.reduceat(n[order], cut) if len(cut) else n[:0]
-    return [c[cut] for c in cols], counts.astype(np.int64)
+    return [c[order[cut]] for c in cols], counts.astype(np.int64)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: those that are mostly 0 pack to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def pack(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray) -> bytes:
+    """N-grams as numbers of words, with the hashes of the words that they have and their counts."""
+    own = np.unique(np.concatenate(ids))
+    body = b"".join([words[own].tobytes(), *(planes(np.searchsorted(own, i)) for i in ids), planes(c)])
+    return np.array([len(own), len(c)], "<u4").tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack_grams(blobs: list[bytes], k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The k columns of hashes of such n-grams, and their counts."""
+    out: list[list[np.ndarray]] = [[] for _ in range(k + 1)]
+    for blob in blobs:
+        m, n = np.frombuffer(blob, "<u4", 2).tolist()
+        body = pa.decompress(blob[8:], 8 * m + 4 * n * (k + 1), codec="zstd", asbytes=True)
+        words = np.frombuffer(body, np.uint64, m)
+        for j in range(k + 1):
+            x = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 8 * m + 4 * n * j).reshape(4, n).T).view("<u4")[:, 0]
+            out[j].append(words[x] if j < k else x)
+    *cols, c = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in out)
+    return cols, c.astype(np.int64)
+
+
+def deal(h: np.ndarray, at: np.ndarray, k: int, n: int, times: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows (bucket, blob): the distinct k-grams that end at these places of h, with their numbers, dealt by context."""
+    words, back, often = np.unique(h, return_inverse=True, return_counts=True)
+    by = np.argsort(-often)  # frequent words have small numbers
+    words, rank = words[by], np.empty(len(by), np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    ids = rank[back]
+    del back, by, rank, often
+    bits = max(1, int(len(words)).bit_length())
+    if bits * k < 64:
+        whole = np.zeros(len(at), dtype=np.uint64)
+        for j in range(k):
+            whole = whole << U64(bits) | ids[at - k + 1 + j].astype(np.uint64)
+        if times is None:
+            whole.sort()
+        else:
+            order = np.argsort(whole)
+            whole, times = whole[order], times[order]
+        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(whole)), bool), whole[1:] != whole[:-1])))
+        size = len(whole)
+        whole = whole[cut]
+        cols = [(whole >> U64(bits * (k - 1 - j)) & U64((1 << bits) - 1)).astype(np.uint32) for j in range(k)]
+    else:
+        cols = [ids[at - k + 1 + j] for j in range(k)]
+        order = np.lexsort(cols[::-1])
+        cols, size = [c[order] for c in cols], len(order)
+        times = times[order] if times is not None else None
+        new = np.zeros(size, dtype=bool)
+        new[:1] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cut = np.flatnonzero(new)
+        cols = [c[cut] for c in cols]
+    c = np.diff(np.append(cut, size)) if times is None else np.add.reduceat(times, cut) if len(cut) else times[:0]
+    bucket = bucket_of(context([words[x] for x in cols] if k > 1 else [words[cols[0]]]), n)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+    b, blobs = [], []
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        for lo in range(int(cuts[i]), int(cuts[i + 1]), MOST_PACKED):
+            rows = order[lo : min(lo + MOST_PACKED, int(cuts[i + 1]))]
+            b.append(i)
+            blobs.append(pack(words, [x[rows] for x in cols], c[rows]))
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], names=["_b", "blob"])
 
 
 def context(cols: list[np.ndarray]) -> np.ndarray:
@@ -149,32 +219,29 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.1, 0.15], [0, 1, 2, 3])
 
 
-def fit(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
+def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
     """Counts all texts of docs."""
     spark = docs.sparkSession
     n, folder = n_buckets(spark), array_folder(spark, "ngrams")
 
     def count(batches):
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            whole = [np.concatenate([x[j] for x in held]) for j in range(order)]
+            starts = np.cumsum([0, *(len(h) for h, _ in held)])
+            h = np.concatenate([x for x, _ in held])
+            at = np.concatenate([x + s for (_, x), s in zip(held, starts[:-1].tolist(), strict=True)])
             held.clear()
-            last = whole[-1]
-            cols, c = count_unique(whole)
-            del whole
-            yield _chunks(bucket_of(context(cols), n), [*cols, c.astype(np.uint32)], n)
-            del cols
-            (w,), c = count_unique([last])
-            out = _chunks(bucket_of(mix(w), n), [w, c.astype(np.uint32)], n)
+            yield deal(h, at, order, n)
+            out = deal(h[at], np.arange(len(at)), 1, n)
             yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + n, pa.int32()), out.column(1)], names=["_b", "blob"])
 
         for batch in batches:
             for part in pieces(batch):
                 h, start, m = tokens(part, order)
                 at = windows(h, start, m)
-                held.append([h[at - order + 1 + j] for j in range(order)])
+                held.append((h, at))
                 size += len(at)
                 if size > HELD:
                     yield from flush()
@@ -185,34 +252,32 @@ def fit(docs: DataFrame, order: int = 2, text: str = "text") -> Model:
     def merge(k: int):
         def run(group: pa.Table) -> pa.Table:
             b = group.column("_b")[0].as_py()
-            top = k == order
             blobs = group.column("blob").to_pylist()
+            del group
             if b >= n:  # how often each token occurs, for the base and for what is known
-                w, c = unpack(blobs, [np.uint64, np.uint32])
-                (w,), c = count_unique([w], c.astype(np.int64))
+                (w,), c = count_unique(*unpack_grams(blobs, 1))
                 save_array(f"{folder}/raw.{b - n}.key.npy", w)
                 save_array(f"{folder}/raw.{b - n}.n.npy", small(c))
                 return stats_row(0, c)
-            *cols, c = unpack(blobs, [np.uint64] * k + [np.uint32])
-            cols, c = count_unique(cols, c.astype(np.int64))
-            ctx = context(cols)
-            key = combine(cols, seed=22) if k > 1 else cols[0]
-            by = np.argsort(key)
-            save_array(f"{folder}/g{k}.{b}.key.npy", key[by])
-            save_array(f"{folder}/g{k}.{b}.n.npy", small(c[by]))
+            cols, c = unpack_grams(blobs, k)
+            del blobs
+            cols, c = count_unique(cols, c)
+            save_array(f"{folder}/g{k}.{b}.key.npy", combine(cols, seed=22) if k > 1 else cols[0])
+            save_array(f"{folder}/g{k}.{b}.n.npy", small(c))
+            out = stats_row(k, c)
             if k > 1:
-                by = np.argsort(ctx, kind="stable")
+                ctx = context(cols)
+                by = np.argsort(ctx)
                 x, cc = ctx[by], c[by]
                 cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
                 save_array(f"{folder}/c{k}.{b}.key.npy", x[cut])
                 for name, v in (("n", cc), ("n1", cc == 1), ("n2", cc == 2), ("n3", cc > 2)):
                     save_array(f"{folder}/c{k}.{b}.{name}.npy", small(np.add.reduceat(v.astype(np.int64), cut)))
-            out = stats_row(k, c)
-            if k > 1:
-                low, m = count_unique(cols[1:])
-                rows = _chunks(bucket_of(context(low), n), [*low, m.astype(np.uint32)], n)
+                del ctx, by, x, cc
+                h = np.stack(cols[1:], axis=1).ravel()
+                del cols
+                rows = deal(h, np.arange(k - 2, len(h), k - 1), k - 1, n)
                 out = pa.concat_tables([out, pa.table({"k": pa.array([None] * rows.num_rows, pa.int32()), **{x: pa.array([None] * rows.num_rows, pa.int64()) for x in ("n1", "n2", "n3", "n4", "grams", "total")}, "_b": rows.column(0), "blob": rows.column(1)})])
-            del top
             return out
 
         return run

@@ -32,7 +32,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import fit, score
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", (part(10) == 0).alias("held_out"))
-    model = fit(docs.filter("not held_out"), order=2)
+    model = fit(docs.filter("not held_out"), order=3)
     return score(docs, model, ["doc_id", "held_out"])
 
 

@@ -1,6 +1,8 @@
 """Every operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns, against plain Python."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import pytest
 
 from rillflow.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, quality, sentencepiece_codec, substring_dedup, toxicity
 from rillflow.llm._spark import components
-from rillflow.llm.queries import tokenizer_path
+from rillflow.llm.queries import op2_lm_scoring, tokenizer_path
 
 from . import brute
 
@@ -133,6 +135,31 @@ def test_lm_scoring(docs, none, order):
     assert lm_scoring.score(docs, lm_scoring.fit(none, order), ["doc_id"]).count() == len(own)
 
 
+def test_lm_scoring_is_registered_with_trigrams(spark, tmp_path):
+    own = [(i, t) for i, t in rows() if i is not None]
+    spark.createDataFrame(own, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in own}
+    assert any(held.values())
+    want = brute.kneser_ney([t for i, t in own if not held[i]], [t for _, t in own], 3)
+    got = sorted(tuple(r) for r in op2_lm_scoring(spark, str(tmp_path)).select("doc_id", "held_out", "n_tokens", "score").collect())
+    for a, b in zip(got, sorted((i, held[i], w[0], w[3]) for (i, _), w in zip(own, want)), strict=True):
+        assert a[:3] == b[:3] and np.allclose(a[3], b[3], rtol=1e-8)
+
+
+def test_ngrams_are_packed_whole():
+    r = np.random.default_rng(1)
+    for k, n in ((1, 40), (3, 5000), (5, 30_000)):  # of 30,000 words five take more than 64 bits
+        h, at = r.integers(0, 1 << 63, 60 if k < 5 else 30_000, dtype=np.uint64), r.integers(k - 1, 60 if k < 5 else 30_000, n)
+        times = r.integers(1, 9, n)
+        for t in (None, times):
+            blobs = lm_scoring.deal(h, at, k, 3, t).column(1).to_pylist()
+            cols, c = lm_scoring.unpack_grams(blobs, k)
+            want = Counter()
+            for a, x in zip(at.tolist(), times.tolist() if t is not None else [1] * n):
+                want[tuple(h[a - k + 1 : a + 1].tolist())] += x
+            assert dict(zip(zip(*(x.tolist() for x in cols)), c.tolist(), strict=True)) == want
+
+
 def test_sentencepiece(docs, none):
     import sentencepiece
 
