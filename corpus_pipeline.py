@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line is near to; one that had lines and keeps none goes."""
-    out = line_dedup.line_dedup(docs, keep=docs.columns)
+    """Documents without the lines that an earlier line is near to, or, if short, equal to; one that had lines and keeps none goes."""
+    out = line_dedup.line_dedup(docs, keep=docs.columns, short=True)
     out = out.filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join.
 
 A line of at least `least` characters goes if an earlier line (by doc_id, then by place) is within `most` edits;
-shorter lines stay. Equal lines are one line with its earliest place. A line is split into most + 1 segments;
+a shorter one goes, with `short`, if an equal line is earlier and it isn't blank, and stays otherwise. Equal lines are one line with its earliest place. A line is split into most + 1 segments;
 two lines within `most` edits share at least one segment whole, at a place that the number of edits bounds. So
 segments are indexed by (length of the line, which segment, its text), and a line probes, for each length from
 its own down to its own less `most`, only the substrings whose place fits both ends of the edits (the
@@ -123,22 +123,26 @@ def near_counts(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(d, 256 - d).sum(axis=1) <= 2 * most
 
 
-def line_lows(docs: DataFrame, most: int, least: int):
-    """Sorted arrays: key of each long line that repeats or has a near one, and the earliest place (id, pos) of it or of them."""
+def is_compared(line: str, least: int, short: bool) -> bool:
+    return len(line) >= least or (short and bool(line.strip()))
+
+
+def line_lows(docs: DataFrame, most: int, least: int, short: bool = False):
+    """Sorted arrays: key of each compared line that repeats or has a near one, and the earliest place (id, pos) of it or of them."""
     spark = docs.sparkSession
     n_b = n_buckets(spark)
 
-    def lines(batch):
+    def lines(batch, short: bool = False):
         for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if t:
                 for pos, x in enumerate(t.split("\n")):
-                    if len(x) >= least:
+                    if is_compared(x, least, short):
                         yield d, pos, x
 
     def places(batches):
         for batch in batches:
             first: dict[int, list] = {}
-            for d, pos, x in lines(batch):
+            for d, pos, x in lines(batch, short):
                 k = _hash(x)
                 e = first.get(k)
                 if e is None:
@@ -247,11 +251,11 @@ def line_lows(docs: DataFrame, most: int, least: int):
     return write_sorted(low, "line-lows")
 
 
-def line_dedup(docs: DataFrame, most: int = MOST, least: int = LEAST, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, most: int = MOST, least: int = LEAST, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, short: bool = False) -> DataFrame:
     """doc_id (or the kept columns), n_lines, n_removed and kept (the text of the lines that stay; null for null)."""
     names = keep or [doc_id]
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    lows = line_lows(own, most, least)
+    lows = line_lows(own, most, least, short)
     rows = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_scan"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-2])
 
@@ -261,7 +265,7 @@ def line_dedup(docs: DataFrame, most: int = MOST, least: int = LEAST, text: str
                 part = batch.slice(lo, 512)
                 split = [t.split("\n") if t is not None else [] for t in part.column("_scan").to_pylist()]
                 ids = part.column("_id").to_pylist()
-                at = [(d, p) for d, ls in enumerate(split) for p, x in enumerate(ls) if len(x) >= least]
+                at = [(d, p) for d, ls in enumerate(split) for p, x in enumerate(ls) if is_compared(x, least, short)]
                 keys = line_keys([split[d][p] for d, p in at])
                 gone: list[set] = [set() for _ in split]
                 if len(at):

@@ -88,7 +88,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    out = line_dedup(load(spark, sf_dir, "documents"))
+    out = line_dedup(load(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

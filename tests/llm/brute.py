@@ -180,3 +180,13 @@ def lines(rows, most=2, least=24):
         keep = [x for p, x in enumerate(ls) if len(x) < least or low[x] >= (inf if i is None else i, p)]
         out.append((i, len(ls), len(ls) - len(keep), sha("\n".join(keep))))
     return out
+
+
+def all_lines(rows, most=2, least=24):
+    """(doc_id, text, n_lines, kept lines): as above, and a shorter line that isn't blank goes if an equal one is earlier."""
+    rank = lambda i: float("inf") if i is None else i
+    split = [(i, t.split("\n") if t is not None else []) for i, t in rows]
+    seen = [(rank(i), p, x) for i, ls in split for p, x in enumerate(ls)]
+    same = lambda x, y: len(x) >= least and len(y) >= least and abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most
+    low = {x: min((i, p) for i, p, y in seen if x == y or same(x, y)) for x in {x for *_, x in seen} if len(x) >= least or x.strip()}
+    return [(i, t, len(ls), [x for p, x in enumerate(ls) if x not in low or low[x] >= (rank(i), p)]) for (i, ls), (_, t) in zip(split, rows)]

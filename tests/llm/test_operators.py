@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from rillflow.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, quality, sentencepiece_codec, substring_dedup, toxicity
 from rillflow.llm._spark import components
-from rillflow.llm.queries import op2_lm_scoring, tokenizer_path
+from rillflow.llm.queries import op2_lm_scoring, op10_line_dedup, tokenizer_path
 
 from . import brute
 
@@ -178,6 +179,20 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+SHORT = [(1, "Les.\nAll rights reserved.\n\n  \nLes. "), (2, "\n  \nLes.\nnew\nLes.\nAll rights reserved."), (3, "new"), (None, "Les.\nown"), (0, "new\nown\nLes?"), (4, "twenty-three characters\ntwenty-three characters"), (5, "twenty-three characterz\n24 characters, no more!!\n24 characters, no more!?")]
+
+
+def test_short_lines_of_the_query_and_the_stage(spark, tmp_path):
+    own = rows() + [(None if i is None else i + 500, t) for i, t in SHORT]
+    df = spark.createDataFrame([(i, t, "l", "s", -1) for i, t in own], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.all_lines(own)
+    assert sum(n - len(k) for _, _, n, k in want) > sum(x[2] for x in brute.lines(own))
+    same(op10_line_dedup(spark, str(tmp_path)), ["doc_id", "n_lines", "n_removed", "kept_sha256"], [(i, n, n - len(k), brute.sha("\n".join(k)) if t is not None else None) for i, t, n, k in want])
+    stay = [(i, t if len(k) == n else "\n".join(k), -1 if len(k) == n else len("\n".join(k))) for i, t, n, k in want if k or not n]
+    same(corpus_pipeline.drop_lines(spark, df, str(tmp_path)), ["doc_id", "text", "n_chars"], stay)
+
+
 def test_edit_distance():
     r = random.Random(3)
     for _ in range(4000):
