@@ -33,10 +33,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of 5-word shingles at 0.8 join, the one with the smallest doc_id stays."""
-    found = jaccard_join.jaccard_components(docs, shingle=5, limit=jaccard_join.Threshold(80, 100))
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of rows that links of 5-word shingles at 0.8 join, exactly one stays: that with the smallest doc_id, null
+    last, and of several the one with the smallest hash of its columns. Rows without a word all stay."""
+    own = docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    found = jaccard_join.jaccard_components(own, shingle=5, limit=jaccard_join.Threshold(80, 100), doc_id="_row")
+    groups = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_row"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    places = own.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("place")).distinct()
+    placed = table(groups.join(places, "_row"), "copies")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"))
+    # rows alike in all columns have one hash: those that stay are read by themselves and made one
+    marked = table(placed.join(first, "component_id").select("_row", "n", (F.col("first._row") != F.col("_row")).alias("gone")).filter("gone or n > 1"), "marked")
+    stay = own.join(marked.select("_row"), "_row", "left_anti").select(*docs.columns)
+    once = own.join(marked.filter("not gone").select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return stay.union(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
