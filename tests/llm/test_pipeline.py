@@ -1,11 +1,15 @@
-"""Stages of the pipeline against plain Python."""
+"""Each stage of the pipeline, and all in turn, against plain Python."""
 
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import sentencepiece
 
 import corpus_pipeline
+from rillflow.llm import quality
+from rillflow.llm.queries import tokenizer_path
 
 from . import brute
 from .test_operators import rows
@@ -59,5 +63,63 @@ def load(spark, folder):
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def plain_quality(spark, folder):
+    docs = load(spark, folder)
+    model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return [tuple(r)[:5] for r in quality.score(docs, model, docs.columns).collect() if r.score >= 0.3]
+
+
+def plain_lines(own):
+    out = []
+    for x, (i, t, n, keep) in zip(own, brute.all_lines([x[:2] for x in own]), strict=True):
+        if keep or not n:
+            out.append(x if len(keep) == n else (i, "\n".join(keep), *x[2:4], len("\n".join(keep))))
+    return out
+
+
+def plain_leaks(spark, folder, own):
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    return [x for x, y in zip(own, brute.leaks([x[:2] for x in own], items), strict=True) if not y[-1]]
+
+
+def plain_tokens(own):
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    ids = [sp.encode(x[1] or "", add_bos=True, add_eos=True) for x in own]
+    return Counter((x[0], np.array(k, "<u4").tobytes(), len(k), sp.decode(k) == (x[1] or "")) for x, k in zip(own, ids, strict=True))
+
+
+def rows_of(df):
+    return Counter(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in df.collect())
+
+
+def test_quality_stage(spark, folder):
+    assert rows_of(corpus_pipeline.keep_quality(spark, load(spark, folder), folder)) == Counter(plain_quality(spark, folder))
+
+
+def test_line_stage(spark, folder):
+    assert rows_of(corpus_pipeline.drop_lines(spark, load(spark, folder), folder)) == Counter(plain_lines(made()))
+
+
 def test_near_copies_keep_one_row_of_each_group(spark, folder):
     check_copies(corpus_pipeline.drop_near_copies(spark, load(spark, folder), folder).collect(), made())
+
+
+def test_leaks_and_tokens(spark, folder):
+    docs = load(spark, folder)
+    want = plain_leaks(spark, folder, made())
+    assert len(want) < len(made())
+    assert rows_of(corpus_pipeline.drop_leaks(spark, docs, folder)) == Counter(want)
+    assert rows_of(corpus_pipeline.encode(spark, docs, folder)) == plain_tokens(made())
+
+
+def test_run(spark, folder, tmp_path):
+    own = plain_lines(plain_quality(spark, folder))
+    groups = one_of_each(own)
+    want = plain_tokens(plain_leaks(spark, folder, [min(g) if len(g) > 1 else next(iter(g)) for g in groups]))
+    got = rows_of(corpus_pipeline.run(spark, folder))
+    assert got.total() == want.total() and Counter(k[0] for k in got.elements()) == Counter(k[0] for k in want.elements())
+    docs = load(spark, folder)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
