@@ -1,21 +1,36 @@
-"""Shared folders, tables that cut lineage, array files for workers, and connected components."""
+"""Shared folders, tables that cut lineage, array files for workers, lean workers, and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Largest Arrow batch that Spark hands to a worker, if the session doesn't say; rows of any length count by their bytes.
+BATCH_BYTES = 8 << 20
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it's unset (local tests), one of our own."""
+    """The folder that spark.checkpoint.dir names. Where it's unset and Spark runs in this process alone, one of our own, which goes at exit."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="rillflow-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="rillflow-")
+        atexit.register(shutil.rmtree, own, True)
+        conf = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(conf)
@@ -23,7 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.append(out)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the folders that this process has made in the shared folder. Frames that aren't written yet may still read them."""
+    jvm = spark._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's garbage is collected, which else may not happen for long."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def array_folder(spark: SparkSession, what: str) -> str:
@@ -47,6 +78,16 @@ def save_array(path: str, values: np.ndarray) -> None:
     os.replace(aside, path)
 
 
+def load_array(path: str) -> np.ndarray:
+    """A file that must be there, mapped into memory."""
+    try:
+        return np.load(path, mmap_mode="r")
+    except ValueError:  # an empty array can't be mapped
+        return np.load(path)
+    except FileNotFoundError as e:
+        raise FileNotFoundError(f"{path} was written and is not there: the folder of spark.checkpoint.dir must be mounted on every machine") from e
+
+
 def table(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
@@ -64,6 +105,71 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers are used again, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes and a worker that gives its memory back."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(lean, schema)
+
+
+def map_groups(df: DataFrame, by: str, run: Callable, schema: str) -> DataFrame:
+    """df.groupBy(by).applyInArrow, with the same care."""
+
+    def lean(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            tidy()
+
+    return df.groupBy(by).applyInArrow(lean, schema)
+
+
+class Carried:
+    """Columns that a worker passes through, under names that clash with nothing."""
+
+    def __init__(self, docs: DataFrame, keep: list[str], *more):
+        self.keep = list(keep)
+        self.rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(self.keep)], *more)
+        self.n = len(self.keep)
+
+    def run(self, run: Callable, results: str) -> DataFrame:
+        """run yields, for each batch, arrays of the carried columns and of the results ("name type, ..."). A carried column that has a result's name comes back with `_kept` behind its own."""
+        kinds = [t for _, t in self.rows.dtypes[: self.n]]
+        names = [r.strip().split(" ", 1)[0] for r in results.split(", ")]
+        schema = ", ".join([*(f"_k{i} {t}" for i, t in enumerate(kinds)), results])
+        out = [f"_k{i}" for i in range(self.n)] + names
+
+        def batches(it):
+            for columns in run(it):
+                yield pa.RecordBatch.from_arrays(columns, names=out)
+
+        taken, back = set(names) | set(self.keep), []
+        for c in self.keep:
+            new = c
+            while new in names or (new != c and new in taken):
+                new += "_kept"
+            back.append(new)
+            taken.add(new)
+        return map_batches(self.rows, batches, schema).toDF(*back, *names)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long) by large-star and small-star steps: (node, component), component the smallest node.
 

@@ -11,22 +11,31 @@ from ._text import U64, Words, mix
 
 
 def smallest(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """The `most` rows whose 64-bit `key` is smallest. Rows are counted first and keys past twice the expected rank are left
-    where they are, so what tasks hand on for the last sort doesn't grow with the number of tasks; if chance or repeated ids leave too few, so be it."""
-    n = rows.count()
-    if n > 2 * most:
-        rows = rows.filter(F.col(key) < int(2 * most / n * 2.0**64) - (1 << 63))
+    """The `most` rows whose 64-bit `key` is smallest. Rows are counted first, and keys past a few times the expected rank are left
+    where they are, so what tasks hand on for the last sort doesn't grow with the number of tasks."""
+    n, times = rows.count(), 2
+    while times * most < n:
+        near = rows.filter(F.col(key) < int(times * most / n * 2.0**64) - (1 << 63))
+        if near.count() >= most:
+            rows = near
+            break
+        times *= 8  # ids that repeat may lie anywhere
     return rows.orderBy(*[key, *(c for c in rows.columns if c != key)]).limit(most)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` labelled rows, drawn by the hash of their ids; of each text at most `most_chars` characters, for fitting only.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text (whole) and y of at most `most` labelled rows, drawn by the hash of their ids. Rows without id or label aren't drawn.
 
     Of documents with one id, the smallest text counts."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y"), F.xxhash64("doc_id").alias("h"))
     few = smallest(known, "h", most).select("doc_id", "y")
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text")).join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = texts.join(F.broadcast(few), "doc_id").toPandas().sort_values(["doc_id", "text", "y"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(few), "doc_id")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray]:
+    """The whole texts and labels of such rows, on the driver."""
+    rows = labelled(docs, labels, label, most).toPandas().sort_values(["doc_id", "text", "y"])
     return rows["text"].tolist(), rows["y"].to_numpy()
 
 

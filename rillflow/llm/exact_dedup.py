@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import bucket_col
-from ._spark import n_buckets
+from ._spark import map_batches, map_groups, n_buckets
 
 SLOTS, MAX_KICKS = 4, 200
 _M = (1 << 64) - 1
@@ -38,7 +38,11 @@ class CuckooFilter:
         self.buckets: list[list[int]] = [[] for _ in range(n)]
 
     def _place(self, digest: int) -> tuple[int, int]:
-        return ((digest >> 48) & 0xFFFF) or 1, digest & (self.n - 1)
+        """Fingerprint and bucket, of bits that are mixed anew: a shard's digests have their first bits in common."""
+        x = (digest ^ (digest >> 33)) * 0xFF51AFD7ED558CCD & _M
+        x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & _M
+        x ^= x >> 33
+        return (x >> 48) or 1, x & (self.n - 1)
 
     def _other(self, i: int, print_: int) -> int:
         return i ^ (((print_ * 0x5BD1E995) >> 3) & (self.n - 1))
@@ -159,13 +163,13 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """One row for each distinct text: digest, text_sha256, n_bytes, keep_id, copies."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("digest"), F.sha2(t, 256).alias("text_sha256"), F.octet_length(t).cast("long").alias("n_bytes"), F.col(doc_id).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
-    local = rows.mapInArrow(lambda it: _run(it, LOCAL_KEYS), SCHEMA)
+    local = map_batches(rows, lambda it: _run(it, LOCAL_KEYS), SCHEMA)
     n = n_buckets(docs.sparkSession)
 
     def shard(group: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(_run(group.drop_columns(["_b"]).to_batches(), None)), schema=_ARROW)
 
-    return local.withColumn("_b", bucket_col(F.col("digest"), n)).groupBy("_b").applyInArrow(shard, SCHEMA)
+    return map_groups(local.withColumn("_b", bucket_col(F.col("digest"), n)), "_b", shard, SCHEMA)
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, n_buckets, table
+from ._spark import components, map_batches, map_groups, n_buckets, table
 from ._store import bucket_of, write_sorted
 from ._text import NOT_SPACE, U64, combine, mix, pieces, signed, words
 
@@ -165,7 +165,7 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
                 sets = shingle_sets(part, shingle)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(signed(signatures(sets))), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n_shingles"])
 
-    points = table(docs.mapInArrow(make, "doc_id long, node long, n_shingles long"), "points")
+    points = table(map_batches(docs, make, "doc_id long, node long, n_shingles long"), "points")
     # the row that speaks for a point; an id that is null still needs one
     speaker = write_sorted(points.filter("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("id")), "speakers")
     frequent_at = max(FREQUENT, int(speaker.size * FREQUENT_PART))
@@ -200,7 +200,7 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
         if held:
             yield flush()
 
-    often = write_sorted(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_at).select("h"), "frequent", 1)
+    often = write_sorted(map_batches(docs, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_at).select("h"), "frequent", 1)
 
     def prefixes(batches):
         for batch in batches:
@@ -261,7 +261,7 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
             "times": np.concatenate((times.astype(np.int64), np.zeros(q, np.int64))),
         })
 
-    blocks = table(docs.mapInArrow(prefixes, "_b int, blob binary").groupBy("_b").applyInArrow(block, "a long, b long, na long, nb long, times long"), "blocks")
+    blocks = table(map_groups(map_batches(docs, prefixes, "_b int, blob binary"), "_b", block, "a long, b long, na long, nb long, times long"), "blocks")
     low = F.least(F.lit(COMMON), F.ceil(F.least("na", "nb") * limit.num / limit.den))
     pairs = blocks.filter("times > 0").groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("times") >= low).select("a", "b")
     pairs = table(pairs, "pairs")
@@ -277,7 +277,7 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
                     at = at[wanted.lookup(sig[at])[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sig[at])), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["node", "shingles"])
 
-    store = write_sorted(docs.mapInArrow(fetch, "node long, shingles binary"), "sets")
+    store = write_sorted(map_batches(docs, fetch, "node long, shingles binary"), "sets")
 
     def of(node) -> np.ndarray:
         return np.frombuffer(store.blobs(np.uint64(int(node) & ((1 << 64) - 1)), "shingles"), dtype=np.uint64)

@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import n_buckets, table
+from ._spark import Carried, free_shuffles, map_batches, map_groups, n_buckets, table
 from ._store import bucket_of, write_sorted
-from ._text import signed
+from ._text import pieces, signed
 from .jaccard_join import _chunks, unpack
 
 NO_ID = (1 << 63) - 1
@@ -218,8 +218,8 @@ def line_lows(docs: DataFrame, most: int, least: int, short: bool = False):
         pair = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0) if a else np.empty((0, 2), np.uint64)
         return pa.table({"a": signed(np.ascontiguousarray(pair[:, 0])), "b": signed(np.ascontiguousarray(pair[:, 1]))})
 
-    at = table(docs.mapInArrow(places, "k long, id long, pos long, n long").groupBy("k").agg(F.min(F.struct("id", "pos")).alias("p"), F.sum("n").alias("n")).select("k", "p.id", "p.pos", "n"), "places")
-    pairs = table(docs.mapInArrow(segments, "_b int, blob binary").groupBy("_b").applyInArrow(meet, "a long, b long").distinct(), "met")
+    at = table(map_batches(docs, places, "k long, id long, pos long, n long").groupBy("k").agg(F.min(F.struct("id", "pos")).alias("p"), F.sum("n").alias("n")).select("k", "p.id", "p.pos", "n"), "places")
+    pairs = table(map_groups(map_batches(docs, segments, "_b int, blob binary"), "_b", meet, "a long, b long").distinct(), "met")
     wanted = write_sorted(pairs.select("a").union(pairs.select("b")).distinct(), "met-lines")
 
     def texts(batches):
@@ -233,7 +233,7 @@ def line_lows(docs: DataFrame, most: int, least: int, short: bool = False):
                     found[k] = x
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.fromiter(found, dtype=np.uint64, count=len(found)))), pa.array([x.encode() for x in found.values()], pa.binary())], names=["k", "line"])
 
-    store = write_sorted(docs.mapInArrow(texts, "k long, line binary").dropDuplicates(["k"]), "line-texts")
+    store = write_sorted(map_batches(docs, texts, "k long, line binary").dropDuplicates(["k"]), "line-texts")
 
     def verify(batches):
         for batch in batches:
@@ -243,7 +243,7 @@ def line_lows(docs: DataFrame, most: int, least: int, short: bool = False):
                 ok.append(within(s, t, most))
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    near = table(pairs.repartition(n_b).mapInArrow(verify, "a long, b long"), "near")
+    near = table(map_batches(pairs.repartition(n_b, "a"), verify, "a long, b long"), "near")
     both = near.union(near.select("b", "a")).toDF("k", "other")
     places_of = at.select(F.col("k").alias("other"), F.col("id").alias("oid"), F.col("pos").alias("opos"))
     other = both.join(places_of, "other").groupBy("k").agg(F.min(F.struct(F.col("oid").alias("id"), F.col("opos").alias("pos"))).alias("q"))
@@ -256,13 +256,9 @@ def line_dedup(docs: DataFrame, most: int = MOST, least: int = LEAST, text: str
     names = keep or [doc_id]
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     lows = line_lows(own, most, least, short)
-    rows = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_scan"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-2])
-
     def remove(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in pieces(batch, "_scan", 1 << 20):
                 split = [t.split("\n") if t is not None else [] for t in part.column("_scan").to_pylist()]
                 ids = part.column("_id").to_pylist()
                 at = [(d, p) for d, ls in enumerate(split) for p, x in enumerate(ls) if is_compared(x, least, short)]
@@ -275,6 +271,6 @@ def line_dedup(docs: DataFrame, most: int = MOST, least: int = LEAST, text: str
                         if (low_id, low_pos) < (ids[d], p):
                             gone[d].add(p)
                 kept = [None if t is None else t if not g else "\n".join(x for p, x in enumerate(ls) if p not in g) for t, ls, g in zip(part.column("_scan").to_pylist(), split, gone, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array([len(x) for x in split], pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_removed", "kept"])
+                yield [*part.columns[:-2], pa.array([len(x) for x in split], pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string())]
 
-    return rows.mapInArrow(remove, f"{schema}, n_lines long, n_removed long, kept string")
+    return Carried(docs, names, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_scan")).run(remove, "n_lines long, n_removed long, kept string")

@@ -17,23 +17,21 @@ to learn from every probability is the uniform one.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import array_folder, n_buckets, save_array, table
-from ._store import bucket_of
-from ._text import NOT_SPACE, U64, combine, mix, pieces, signed, words
+from ._spark import Carried, array_folder, free_shuffles, map_batches, map_groups, n_buckets, save_array, table
+from ._store import Open, bucket_of
+from ._text import NOT_SPACE, U64, combine, mix, pieces, words
 
 END, BEGIN = U64(0xE4D0E4D0E4D0E4D1), U64(0xBE61BE61BE61BE61)
 #: N-grams that a task counts at once.
 HELD = 3_000_000
 #: N-grams of one row that is handed on.
 MOST_PACKED = 1 << 18
-_STATS = "k int, n1 long, n2 long, n3 long, n4 long, grams long, total long"
+_STATS = "k int, at int, n1 long, n2 long, n3 long, n4 long, grams long, total long"
 
 
 def tokens(part: pa.RecordBatch, order: int, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +142,9 @@ def context(cols: list[np.ndarray]) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, folder: str, n: int, order: int, stats: dict[int, tuple], vocabulary: int, total: int):
-        self.folder, self.n, self.order, self.vocabulary, self.total, self._open = folder, n, order, vocabulary, total, {}
+    def __init__(self, folder: str, n: int, order: int, stats: dict[int, tuple], vocabulary: int, total: int, written: dict[int, frozenset]):
+        """written: for each order (0: the tokens) the buckets that have files."""
+        self.folder, self.n, self.order, self.vocabulary, self.total, self.written, self.open = folder, n, order, vocabulary, total, written, Open()
         self.discounts, self.unigrams = {}, 0
         for k in range(1, order + 1):
             n1, n2, n3, n4, _, mass = stats.get(k, (0,) * 6)
@@ -155,33 +154,20 @@ class Model:
                 self.once = tuple(stats.get(1, (0,) * 6)[:2])
                 self.kinds = stats.get(1, (0,) * 6)[4]
 
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
-
-    def part(self, name: str):
-        if name not in self._open:
-            try:
-                self._open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
-            except FileNotFoundError:
-                self._open[name] = None
-            except ValueError:
-                self._open[name] = np.load(f"{self.folder}/{name}.npy")
-        return self._open[name]
-
     def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
         """Values of the fields for each key, 0 where there is none."""
         out = [np.zeros(len(keys), dtype=np.int64) for _ in fields]
         order = np.lexsort((keys, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(self.n + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = self.part(f"{kind}.{b}.key")
-            if own is None or not len(own):
+            if b not in self.written.get(0 if kind == "raw" else int(kind[1:]), ()):
                 continue
+            own = self.open.get(f"{self.folder}/{kind}.{b}.key.npy")
             rows = order[cuts[b] : cuts[b + 1]]
             at = np.minimum(np.searchsorted(own, keys[rows]), len(own) - 1)
             hit = own[at] == keys[rows]
             for f, o in zip(fields, out, strict=True):
-                o[rows[hit]] = self.part(f"{kind}.{b}.{f}")[at[hit]]
+                o[rows[hit]] = self.open.get(f"{self.folder}/{kind}.{b}.{f}.npy")[at[hit]]
         return out
 
     def probabilities(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,13 +244,13 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
                 (w,), c = count_unique(*unpack_grams(blobs, 1))
                 save_array(f"{folder}/raw.{b - n}.key.npy", w)
                 save_array(f"{folder}/raw.{b - n}.n.npy", small(c))
-                return stats_row(0, c)
+                return stats_row(0, b - n, c)
             cols, c = unpack_grams(blobs, k)
             del blobs
             cols, c = count_unique(cols, c)
             save_array(f"{folder}/g{k}.{b}.key.npy", combine(cols, seed=22) if k > 1 else cols[0])
             save_array(f"{folder}/g{k}.{b}.n.npy", small(c))
-            out = stats_row(k, c)
+            out = stats_row(k, b, c)
             if k > 1:
                 ctx = context(cols)
                 by = np.argsort(ctx)
@@ -277,36 +263,38 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
                 h = np.stack(cols[1:], axis=1).ravel()
                 del cols
                 rows = deal(h, np.arange(k - 2, len(h), k - 1), k - 1, n)
-                out = pa.concat_tables([out, pa.table({"k": pa.array([None] * rows.num_rows, pa.int32()), **{x: pa.array([None] * rows.num_rows, pa.int64()) for x in ("n1", "n2", "n3", "n4", "grams", "total")}, "_b": rows.column(0), "blob": rows.column(1)})])
+                out = pa.concat_tables([out, pa.table({"k": pa.array([None] * rows.num_rows, pa.int32()), "at": pa.array([None] * rows.num_rows, pa.int32()), **{x: pa.array([None] * rows.num_rows, pa.int64()) for x in ("n1", "n2", "n3", "n4", "grams", "total")}, "_b": rows.column(0), "blob": rows.column(1)})])
             return out
 
         return run
 
     stats: dict[int, tuple] = {}
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "_b int, blob binary")
+    written: dict[int, set] = {}
+    rows = map_batches(docs.select(F.col(text).alias("text")), count, "_b int, blob binary")
     for k in range(order, 0, -1):
-        done = table(rows.groupBy("_b").applyInArrow(merge(k), f"{_STATS}, _b int, blob binary"), f"order{k}")
+        done = table(map_groups(rows, "_b", merge(k), f"{_STATS}, _b int, blob binary"), f"order{k}")
+        del rows
+        free_shuffles(spark)
         names = ("n1", "n2", "n3", "n4", "grams", "total")
-        for r in done.filter("k is not null").groupBy("k").agg(*(F.sum(x).alias(x) for x in names)).collect():  # a row or two
-            stats[r["k"]] = tuple(r[x] for x in names)
+        for r in done.filter("k is not null").select("k", "at", *names).collect():  # one row for each bucket
+            stats[r["k"]] = tuple(x + r[y] for x, y in zip(stats.get(r["k"], (0,) * 6), names, strict=True))
+            written.setdefault(r["k"], set()).add(r["at"])
         rows = done.filter("k is null").select("_b", "blob")
     _, _, _, _, vocabulary, total = stats.get(0, (0,) * 6)
-    return Model(folder, n, order, stats, vocabulary, total)
+    return Model(folder, n, order, stats, vocabulary, total, {k: frozenset(v) for k, v in written.items()})
 
 
 def small(c: np.ndarray) -> np.ndarray:
     return c.astype(np.min_scalar_type(int(c.max(initial=0))))
 
 
-def stats_row(k: int, c: np.ndarray) -> pa.Table:
+def stats_row(k: int, b: int, c: np.ndarray) -> pa.Table:
     n = [int((c == j).sum()) for j in (1, 2, 3, 4)]
-    return pa.table({"k": pa.array([k], pa.int32()), **{f"n{j + 1}": pa.array([n[j]], pa.int64()) for j in range(4)}, "grams": pa.array([len(c)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64()), "_b": pa.array([None], pa.int32()), "blob": pa.array([None], pa.binary())})
+    return pa.table({"k": pa.array([k], pa.int32()), "at": pa.array([b], pa.int32()), **{f"n{j + 1}": pa.array([n[j]], pa.int64()) for j in range(4)}, "grams": pa.array([len(c)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64()), "_b": pa.array([None], pa.int32()), "blob": pa.array([None], pa.binary())})
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the texts) and perplexity (per token)."""
-    kept = docs.select(*keep, F.col(text).alias("_scan"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
 
     def run(batches):
         for batch in batches:
@@ -318,10 +306,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 known = np.add.reduceat((raw > 0).astype(np.int64), cut)
                 logp = np.add.reduceat(np.log10(p), cut)
                 base = np.add.reduceat(np.log10((raw + 0.1) / (model.total + 0.1 * (model.vocabulary + 1))), cut)
-                cols = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), model.total, np.int64)), pa.array(base), pa.array(logp), pa.array(10 ** np.minimum(-logp / n, 300))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                yield [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(len(n), model.total, np.int64)), pa.array(base), pa.array(logp), pa.array(10 ** np.minimum(-logp / n, 300))]
 
-    return kept.mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return Carried(docs, keep, F.col(text).alias("_scan")).run(run, "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-__all__ = ["Model", "discounts", "fit", "score", "signed", "math"]
+__all__ = ["Model", "discounts", "fit", "score"]

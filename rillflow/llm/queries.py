@@ -9,8 +9,13 @@ from ._spark import load
 
 
 def part(n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """crc32 of the id as text, modulo n; -1 without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(-1))
+
+
+def held_out(n: int, which: int):
+    """Rows that nothing is learned from; those without an id are among them."""
+    return part(n).isin(which, -1)
 
 
 def tokenizer_path() -> str:
@@ -23,15 +28,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    model = fit(docs, labels.filter(part(4) != 2))
-    held = docs.withColumn("held_out", part(4) == 2)
+    model = fit(docs, labels.filter(~held_out(4, 2)))
+    held = docs.withColumn("held_out", held_out(4, 2))
     return score(held, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import fit, score
 
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", (part(10) == 0).alias("held_out"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", held_out(10, 0).alias("held_out"))
     model = fit(docs.filter("not held_out"), order=3)
     return score(docs, model, ["doc_id", "held_out"])
 
@@ -64,7 +69,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, predict
 
-    docs = load(spark, sf_dir, "documents").withColumn("held_out", part(3) == 1)
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", held_out(3, 1))
     model = fit(docs.filter("not held_out"))
     return predict(docs, model, ["doc_id", "held_out"])
 
@@ -80,8 +85,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, score
 
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    model = fit(docs, labels.filter(part(5) != 0))
-    held = docs.withColumn("held_out", part(5) == 0)
+    model = fit(docs, labels.filter(~held_out(5, 0)))
+    held = docs.withColumn("held_out", held_out(5, 0))
     return score(held, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

@@ -9,7 +9,7 @@ the ids are read off backwards. No merges are replayed over the text, so the tim
 Texts are cut where no piece of the vocabulary reaches across: before a space mark that follows another
 character, and around characters that the vocabulary doesn't have, which become byte pieces.
 
-Defined results: null text is empty, and gives the begin and end ids alone; other columns are ignored.
+Defined results: null text is empty, and gives the begin and end ids alone; rows may repeat; other columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import Carried
+from ._text import pieces
+
 SPACE = "▁"
 FAR = float("inf")
 
@@ -30,8 +33,8 @@ FAR = float("inf")
 class Codec:
     """One for each worker. path: a .model file of the BPE kind with byte fallback and identity normaliser."""
 
-    #: Words whose ids are kept, and pairs of pieces whose compatibility is.
-    MOST_WORDS, MOST_PAIRS = 200_000, 1_000_000
+    #: Words whose ids are kept (two such generations), and pairs of pieces whose compatibility is: about 10 and 15 MB.
+    MOST_WORDS, MOST_PAIRS = 40_000, 150_000
 
     def __init__(self, path: str):
         import ahocorasick
@@ -187,6 +190,12 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
+def forget(path: str) -> None:
+    """What a codec has learned from texts goes; its tables stay for the worker's next task."""
+    if path in _codecs:
+        _codecs[path].words, _codecs[path].old = {}, {}
+
+
 def codec(path: str) -> Codec:
     if path not in _codecs:
         _codecs[path] = Codec(path)
@@ -198,21 +207,18 @@ ENCODED = "ids binary, n_tokens long, decoded string"
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, then ids (little-endian unsigned 32-bit, begin and end with them), n_tokens and decoded."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[:-1])
 
     def run(batches):
         c = codec(model)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [c.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())],
-                    names=[*keep, "ids", "n_tokens", "decoded"],
-                )
-
-    return kept.mapInArrow(run, f"{schema}, {ENCODED}")
+        try:
+            for batch in batches:
+                for part in pieces(batch, "_text", 1 << 20):
+                    ids = [c.encode(t) for t in part.column("_text").to_pylist()]
+                    yield [*part.columns[:-1], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())]
+        finally:
+            forget(model)
+
+    return Carried(docs, list(keep), F.col(text).alias("_text")).run(run, ENCODED)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
