@@ -6,10 +6,11 @@ softmax layer gives the window's languages; a document has the mean of its windo
 filter over bytes is a sum of table rows, so two bytes are looked up at once in tables of 65,536 rows.
 
 Training is in numpy with Adam, on windows of at most MOST_ROWS labelled texts that are chosen by the hash of
-doc_id. Scoring reads whole texts, in batches of windows of one length.
+doc_id: of each text WINDOWS_OF_A_TEXT windows that lie evenly over the whole of it. Scoring reads whole texts, in
+batches of windows of one length.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or if nothing was learned;
-languages that are null are not learned; rows may repeat and other columns are ignored or passed through.
+languages that are null and rows without doc_id are not learned; rows may repeat; other columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import Carried, map_batches
 from ._text import pieces, text_buffers
 from ._train import Adam, smallest
 
-MOST_ROWS, WINDOW, WIDTHS, FILTERS, WINDOWS_OF_A_TEXT = 2000, 128, (2, 3, 4), 12, 4
+MOST_ROWS, WINDOW, WIDTHS, FILTERS, WINDOWS_OF_A_TEXT = 2000, 128, (2, 3, 4), 12, 6
 TAIL = max(WIDTHS) - 1
 
 
@@ -113,34 +115,46 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, np.clip(left, 1, WINDOW), first
 
 
-def fit_texts(texts: list[str], langs: list[str], epochs: int = 12) -> Model | None:
+def spread(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, window) of at most `most` windows of each text, in the middle of as many equal parts of it."""
+    m = np.minimum(n, most)
+    of = np.repeat(np.arange(len(n)), m)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+    return of, (2 * k + 1) * n[of] // (2 * m[of])
+
+
+def fit_windows(x: np.ndarray, langs: list[str], epochs: int = 12) -> Model | None:
+    """x: windows; langs: of each."""
     names = sorted(set(langs))
     if not names:
         return None
     model = Model(names)
-    x, _, first = cut(pa.array(texts, pa.string()))
-    of = np.searchsorted(first, np.arange(len(x)), side="right") - 1
-    inner = np.arange(len(x)) - first[of]
-    use = inner < WINDOWS_OF_A_TEXT
-    y = np.array([names.index(v) for v in langs])[of[use]]
     if len(names) > 1:
-        model.fit(x[use], y, epochs)
+        at = {v: i for i, v in enumerate(names)}
+        model.fit(x, np.array([at[v] for v in langs]), epochs)
     return model
 
 
 def fit(docs: DataFrame, most: int = MOST_ROWS, text: str = "text", lang: str = "lang") -> Model | None:
-    """Learns from at most `most` rows, less those without a letter; of each text the first WINDOWS_OF_A_TEXT windows.
+    """Learns from at most `most` rows, less those without a letter; the driver gets their chosen windows alone.
+
+    Rows are chosen by doc_id and lang, so only the chosen texts leave the scan."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    few = smallest(known, "h", most).filter("letter")
+
+    def choose(batches):
+        for batch in batches:
+            for part in pieces(batch, "t"):
+                x, _, first = cut(part.column("t"))
+                of, k = spread(np.diff(np.append(first, len(x))), WINDOWS_OF_A_TEXT)
+                yield pa.RecordBatch.from_arrays([part.column("l").take(pa.array(of)), pa.array([w.tobytes() for w in x[first[of] + k]], pa.binary())], names=["l", "x"])
 
-    Rows are chosen by doc_id and lang alone, so only the chosen texts leave the scan."""
-    known = docs.filter(F.col(lang).isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.substring(text, 1, WINDOW * WINDOWS_OF_A_TEXT).alias("t"), F.col(lang).alias("l"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    rows = smallest(known, "h", most).filter("letter").toPandas()
-    return fit_texts(rows["t"].tolist(), rows["l"].tolist())
+    rows = map_batches(few.select("l", "t"), choose, "l string, x binary").toPandas().sort_values(["l", "x"])
+    return fit_windows(np.frombuffer(b"".join(rows["x"]), dtype=np.uint8).reshape(len(rows), WINDOW + TAIL), rows["l"].tolist())
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, lang_pred and score."""
-    kept = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.col(text).alias("_scan"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-2])
 
     def run(batches):
         for batch in batches:
@@ -152,6 +166,6 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                     e = np.exp(z - z.max(axis=1, keepdims=True))
                     e /= e.sum(axis=1, keepdims=True)
                     name[letter], p[letter] = np.array(model.langs, dtype=object)[e.argmax(axis=1)], e.max(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(name, pa.string()), pa.array(p)], names=[*keep, "lang_pred", "score"])
+                yield [*part.columns[:-2], pa.array(name, pa.string()), pa.array(p)]
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return Carried(docs, keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.col(text).alias("_scan")).run(run, "lang_pred string, score double")
