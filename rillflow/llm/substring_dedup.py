@@ -4,20 +4,25 @@ Every window of `size` words picks as its anchor the occurrence of the smallest
 it. Equal windows pick equal anchors, so the words around an anchor whose windows all pick it (a segment) need
 comparing only with segments of the same anchor: those go to one shard, and texts that occur once go nowhere.
 Segments that are equal word by word are one row with the smallest doc_id before anything is shuffled on, so a
-passage in a third of all documents is as cheap as one in two.
-
-A shard's segments are indexed together: suffixes sorted to a fixed depth, the Burrows-Wheeler transform as a
-wavelet matrix of bit vectors with rank counts. The segments are streamed through it from right to left, all
-at once: backward search extends every match by one word, a match that would outgrow the threshold drops its
-last word (by precomputed bucket borders), one that can't be extended shrinks until it can. The matches that
-reach the threshold are reported as intervals with the smallest doc_id that has them.
+passage in a third of all documents is as cheap as one in two. A short phrase in a third of all documents would be
+the anchor of as many different segments; so a sketch of fixed size counts the k-word sequences of all documents
+first, and sequences whose count stands out are picked only by windows that have no other: those lie wholly in
+repeated text, and have few different segments.
+
+A shard's segments are indexed together. What stays of the index is the Burrows-Wheeler transform as a wavelet
+matrix of bit vectors with rank counts, one byte a word for the prefix that neighbouring rows share, and the smallest
+doc_id of each interval at the threshold; the suffix array is dropped when these are made. The segments are streamed
+through it in batches, each from right to left: backward search extends every match by one word, a match that would
+outgrow the threshold drops its last word, one that can't be extended shrinks until it can (both by the nearest
+rows whose shared prefix is shorter). The matches that reach the threshold are reported as intervals with the
+smallest doc_id that has them.
 
 Intervals are kept as sorted arrays in the shared folder, and a last pass over the documents looks up its
-segments and removes the words that windows of documents with smaller ids cover. The texts are read three
+segments and removes the words that windows of documents with smaller ids cover. The texts are read four
 times and never shuffled.
 
-Defined results: null and empty texts have no words; a null doc_id counts as larger than any other; rows that
-repeat with one doc_id aren't copies of each other; other columns are ignored.
+Defined results: null and empty texts have no words; a null doc_id counts as larger than any other but 2**63 - 1,
+which it ties with; rows that repeat with one doc_id aren't copies of each other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import n_buckets, table
+from ._spark import free_shuffles, map_batches, map_groups, n_buckets, table
 from ._store import bucket_col, write_sorted
 from ._text import NOT_SPACE, Words, combine, mix, pieces, signed, words
 
 NO_ID = (1 << 63) - 1
-DEPTH = 64
+#: Counters of the sketch, in parts; a sequence stands out that is counted so much oftener than the mean.
+SLOTS, PART, STANDS_OUT = 1 << 20, 1 << 16, 64
+#: Segments that are streamed through an index at once.
+QUERIES = 4096
 
 
 class WaveletMatrix:
@@ -67,50 +75,55 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over several word sequences. Suffixes are sorted to DEPTH words, enough for any pattern up to that."""
+    """Over several word sequences: what backward search needs, and nothing else. Matches are followed up to `depth` words."""
 
-    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, sigma: int):
-        """symbols: all sequences one after another, from 1 to sigma - 1, without separators."""
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, sigma: int, depth: int, owners: np.ndarray | None = None):
+        """symbols: all sequences one after another, from 1 to sigma - 1, without separators; owners: a number for each sequence."""
         n = len(symbols) + len(lengths)
         text = np.zeros(n, dtype=np.int64)
         ends = np.cumsum(lengths + 1) - 1
         inner = np.ones(n, dtype=bool)
         inner[ends] = False
         text[inner] = symbols
-        self.text, self.ends, self.sigma = text, ends, sigma
-        room = np.zeros(n, dtype=np.int64)  # words up to the separator; a suffix compares as far as that
-        room[:] = np.repeat(ends, lengths + 1) - np.arange(n)
-        self.ranks = {1: text.astype(np.int32)}
-        rank, d = text.copy(), 1
-        while d < DEPTH:
+        self.n, self.depth, self.words = n, depth, len(symbols)
+        room = np.repeat(ends, lengths + 1) - np.arange(n)  # words up to the separator; a suffix compares as far as that
+        ranks, rank, d = [(1, text.astype(np.int32))], text.copy(), 1
+        while d < depth:
             after = np.zeros(n, dtype=np.int64)
             after[:-d] = np.where(room[:-d] >= d, rank[d:], 0) if n > d else 0
             key = rank * (n + sigma + 1) + after
             order = np.argsort(key, kind="stable")
-            new = np.zeros(n, dtype=np.int64)
-            new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-            rank, d = new, 2 * d
-            self.ranks[d] = rank.astype(np.int32)
-        self.sa = np.argsort(rank, kind="stable")
-        self.room = room
-        bwt = np.where(self.sa > 0, text[self.sa - 1], 0)
+            rank = np.zeros(n, dtype=np.int64)
+            rank[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
+            d *= 2
+            ranks.append((d, rank.astype(np.int32)))
+        sa = np.argsort(rank, kind="stable")
+        # words that each row shares with the next one
+        a, b, shared = sa[:-1], sa[1:], np.zeros(n - 1, dtype=np.int64)
+        for d, r in reversed(ranks):
+            x, y = a + shared, b + shared
+            ok = (x < n) & (y < n)
+            ok[ok] = r[x[ok]] == r[y[ok]]
+            shared[ok] += d
+        shared = np.minimum(np.minimum(shared, depth), np.minimum(room[a], room[b]))
+        self.shared = shared.astype(np.min_scalar_type(depth))
         self.bits = max(1, int(sigma - 1).bit_length())
-        self.wavelet = WaveletMatrix(bwt, self.bits)
+        self.wavelet = WaveletMatrix(np.where(sa > 0, text[sa - 1], 0), self.bits)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))[:-1]
-        self.n = n
-
-    def borders(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each row, the first row and the end of those that share its first `depth` words."""
-        a, b = self.sa[:-1].copy(), self.sa[1:].copy()
-        same, off = np.ones(self.n - 1, dtype=bool), 0
-        for d in sorted(self.ranks, reverse=True):
-            while off + d <= depth:
-                # a suffix shorter than depth shares its rank with none but equal ones; separators end a match
-                ra, rb = self.ranks[d][np.minimum(a + off, self.n - 1)], self.ranks[d][np.minimum(b + off, self.n - 1)]
-                same &= (ra == rb) & (self.room[a] >= depth) & (self.room[b] >= depth)
-                off += d
-        cut = np.concatenate(([0], np.flatnonzero(~same) + 1, [self.n]))
-        return np.repeat(cut[:-1], np.diff(cut)), np.repeat(cut[1:], np.diff(cut))
+        # the smallest owner of each interval at full depth
+        self.cuts = self.borders(depth)
+        self.least = np.minimum.reduceat(np.repeat(owners, lengths + 1)[sa], self.cuts[:-1]) if owners is not None else None
+
+    def nbytes(self) -> int:
+        """What the index takes."""
+        return sum(w.nbytes + o.nbytes for w, o, _ in self.wavelet.levels) + self.shared.nbytes + self.before.nbytes + self.cuts.nbytes + (self.least.nbytes if self.least is not None else 0)
+
+    def borders(self, depth: int) -> np.ndarray:
+        """Where intervals of rows that share `depth` words begin, and the end."""
+        return np.concatenate(([0], np.flatnonzero(self.shared < depth) + 1, [self.n])).astype(np.int32)
+
+    def least_owner(self, row: np.ndarray) -> np.ndarray:
+        return self.least[np.searchsorted(self.cuts, row, side="right") - 1]
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the rows of the pattern with one more word in front."""
@@ -122,25 +135,28 @@ class FMIndex:
     def matching(self, queries: list[np.ndarray], threshold: int):
         """Matching statistics of all queries at once, capped at threshold: yields (query, position, length, low row, end row) vectors, position by position from the right.
 
-        A length is that of the longest match that begins at the position, up to threshold. Symbols that the
+        A length is that of the longest match that begins at the position, up to threshold, which is the index's depth at most. Symbols that the
         index doesn't have are 0.
         """
-        assert threshold <= DEPTH
+        if threshold > self.depth:
+            raise ValueError(f"the index follows {self.depth} words, not {threshold}")
         q = len(queries)
         size = np.array([len(x) for x in queries], dtype=np.int64)
         at = np.concatenate(([0], np.cumsum(size)))
         flat = np.concatenate(queries).astype(np.int64) if q else np.empty(0, np.int64)
         lo, hi, length = np.zeros(q, np.int64), np.full(q, self.n, np.int64), np.zeros(q, np.int64)
-        cache: dict[int, tuple] = {}
+        top = self.borders(threshold - 1) if threshold > 1 else None
 
         def shrink(rows: np.ndarray) -> None:
             length[rows] -= 1
             for d in np.unique(length[rows]).tolist():
-                if d not in cache:
-                    cache[d] = self.borders(d) if d else (np.zeros(self.n, np.int64), np.full(self.n, self.n))
                 own = rows[length[rows] == d]
-                row = lo[own]
-                lo[own], hi[own] = cache[d][0][row], cache[d][1][row]
+                if not d:
+                    lo[own], hi[own] = 0, self.n
+                    continue
+                cuts = top if d == threshold - 1 else self.borders(d)
+                i = np.searchsorted(cuts, lo[own], side="right")
+                lo[own], hi[own] = cuts[i - 1], cuts[i]
 
         for step in range(int(size.max(initial=0))):
             rows = np.flatnonzero(size > step)
@@ -164,17 +180,75 @@ class FMIndex:
             yield rows, size[rows] - 1 - step, length[rows].copy(), lo[rows].copy(), hi[rows].copy()
 
 
-def segments(w: Words, h: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, document, first word, windows) of each run of windows that pick the same anchor."""
+def sequences(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word sequences, those that cross from one document to the next with them."""
+    return mix(combine([h[i : len(h) - k + 1 + i] for i in range(k)], seed=77)) if len(h) >= k else np.empty(0, np.uint64)
+
+
+def slots(g: np.ndarray) -> np.ndarray:
+    return (g & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """A bit for each slot of the sketch: is it counted much oftener than the mean? docs: text. What tasks and driver hold has a fixed size."""
+
+    def count(batches):
+        total, held = np.zeros(SLOTS, dtype=np.int64), []
+        for batch in batches:
+            for part in pieces(batch):
+                w = words(part.column("text"), NOT_SPACE)
+                if not len(w):
+                    continue
+                g, owner = sequences(w.hashes(0), k), w.doc()
+                held.append(slots(g[owner[: len(g)] == owner[len(w) - len(g) :]]) if len(g) else np.empty(0, np.int64))
+                if sum(map(len, held)) > SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=SLOTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // PART), pa.int32()), pa.array([_pack(total[i : i + PART]) for i in range(0, SLOTS, PART)], pa.binary())], names=["part", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(PART, dtype=np.int64)
+        for blob in group.column("n"):
+            total += _unpack(blob.as_py())
+        return pa.table({"part": group.column("part")[:1], "n": pa.array([_pack(total)], pa.binary())})
+
+    # a group gets a thousand tasks' parts at most, then as many groups' sums
+    rows = map_batches(docs.select("text"), count, "part int, n binary").withColumn("g", F.concat_ws(" ", "part", (F.spark_partition_id() / 1024).cast("int")))
+    sums = map_groups(map_groups(rows, "g", add, "part int, n binary"), "part", add, "part int, n binary")
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for r in sums.collect():  # SLOTS / PART rows
+        total[r["part"] * PART : (r["part"] + 1) * PART] = _unpack(bytes(r["n"]))
+    mean = total.mean()
+    return np.packbits(total > mean + 8 * np.sqrt(mean) + STANDS_OUT)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Counts by their bytes: the upper ones are 0 and pack to nothing."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    data = np.frombuffer(pa.decompress(blob, 8 * PART, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(data.reshape(8, PART).T).view(np.int64)[:, 0]
+
+
+def segments(w: Words, h: np.ndarray, size: int, k: int, often: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor hash, document, first word, windows) of each run of windows that pick the same anchor. often: frequent()'s bits."""
     n = len(h)
     out = [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3]
     if n < size:
         return tuple(out)
-    g = mix(combine([h[i : n - k + 1 + i] for i in range(k)], seed=77))
+    g = sequences(h, k)
+    rank = g >> np.uint64(1)
+    if often is not None:
+        s = slots(g)
+        rank |= ((often[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(63)
     m = size - k + 1  # k-word sequences in a window
     # the leftmost smallest in each window, by doubling: ties go to the left
-    pos = np.arange(len(g))
-    best, val, d = pos, g, 1
+    best, val, d = np.arange(len(g)), rank, 1
     while d < m:
         s = min(d, m - d)
         right_v, right_p = val[s:], best[s:]
@@ -205,38 +279,53 @@ def content(h: np.ndarray, h2: np.ndarray, start: np.ndarray, length: np.ndarray
     return out[0], out[1]
 
 
-def _tokens(part: pa.RecordBatch, size: int, k: int):
+def joined(w: Words, keep: np.ndarray) -> pa.Array:
+    """Of each document the words that stay, joined by one space."""
+    at = np.flatnonzero(keep)
+    length, doc = w.length[at], w.doc()[at]
+    lead = np.ones(len(at), dtype=np.int64)
+    lead[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
+    end = np.cumsum(length + lead)
+    out = np.full(int(end[-1]) if len(end) else 0, 32, dtype=np.uint8)
+    inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(end - length, length) + inner] = w.buf[np.repeat(w.start[at], length) + inner]
+    ends = np.concatenate(([0], end))[np.searchsorted(doc, np.arange(len(w.first) - 1), side="right")]
+    return pa.LargeStringArray.from_buffers(len(w.first) - 1, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string())
+
+
+def _tokens(part: pa.RecordBatch, size: int, k: int, often: np.ndarray | None):
     w = words(part.column("text"), NOT_SPACE)
     h, h2 = w.hashes(0), w.hashes(1)
-    anchor, doc, start, count = segments(w, h, size, k)
+    anchor, doc, start, count = segments(w, h, size, k, often)
     key, check = content(h, h2, start, count + size - 1)
     return w, h, anchor, doc, start, count, combine([anchor, key]), check
 
 
-def repeats(docs: DataFrame, size: int, k: int):
+def repeats(docs: DataFrame, size: int, k: int, often: np.ndarray):
     """Sorted arrays of the segments that repeat: key, check and runs (first window, end window, smallest doc_id: int64 triples)."""
     spark = docs.sparkSession
-    shards = n_buckets(spark, 16)  # an index takes about 200 bytes a word
+    shards = n_buckets(spark, 16)
 
     def find(batches):
         for batch in batches:
             for part in pieces(batch):
-                ids = part.column("doc_id").to_numpy()
-                _, _, anchor, doc, start, count, key, check = _tokens(part, size, k)
+                ids = part.column("rank").to_numpy()
+                _, _, anchor, doc, start, count, key, check = _tokens(part, size, k, often)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(key)), pa.array(signed(check)), pa.array(ids[doc])], names=["anchor", "key", "check", "id"])
 
-    found = docs.mapInArrow(find, "anchor long, key long, check long, id long")
+    found = map_batches(docs, find, "anchor long, key long, check long, id long")
     # one row for each distinct segment, then those whose anchor has more than one document
     distinct = found.groupBy("anchor", "key", "check").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     distinct = table(distinct, "segments")
     shared = distinct.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("anchor")
+    free_shuffles(spark)
     wanted = write_sorted(distinct.join(shared, "anchor").select("key", "check", "low"), "wanted")
 
     def fetch(batches):
         for batch in batches:
             for part in pieces(batch):
-                ids = part.column("doc_id").to_numpy()
-                w, h, anchor, doc, start, count, key, check = _tokens(part, size, k)
+                ids = part.column("rank").to_numpy()
+                w, h, anchor, doc, start, count, key, check = _tokens(part, size, k, often)
                 hit, got = wanted.lookup(key)
                 own = np.flatnonzero(hit)
                 own = own[(got["low"] == ids[doc[own]]) & (got["check"] == signed(check[own]))]
@@ -253,16 +342,15 @@ def repeats(docs: DataFrame, size: int, k: int):
         length = np.array([len(s) for s in seqs])
         names, symbols = np.unique(np.concatenate(seqs), return_inverse=True)
         symbols = symbols.astype(np.int64) + 1
-        index = FMIndex(symbols, length, len(names) + 1)
-        owner = np.repeat(ids, length + 1)[index.sa]  # the document of each row
-        cut = np.flatnonzero(np.diff(index.borders(size)[0], prepend=-1))
-        least = np.minimum.reduceat(owner, cut)
-        which = np.searchsorted(cut, np.arange(index.n), side="right") - 1
+        index = FMIndex(symbols, length, len(names) + 1, size, ids)
         bounds = np.cumsum(length)
         best = np.full(len(symbols), NO_ID, dtype=np.int64)
-        for rows, pos, got, lo, _ in index.matching(np.split(symbols, bounds[:-1]), size):
-            full = got == size
-            best[(bounds - length)[rows[full]] + pos[full]] = least[which[lo[full]]]
+        for lo in range(0, len(seqs), QUERIES):
+            own = slice(lo, min(lo + QUERIES, len(seqs)))
+            first = (bounds - length)[own]
+            for rows, pos, got, row, _ in index.matching([symbols[f : f + n] for f, n in zip(first.tolist(), length[own].tolist(), strict=True)], size):
+                full = got == size
+                best[first[rows[full]] + pos[full]] = index.least_owner(row[full])
         runs = []
         for i in range(len(keys)):
             m = best[bounds[i] - length[i] : bounds[i] - size + 1]
@@ -270,47 +358,40 @@ def repeats(docs: DataFrame, size: int, k: int):
             runs.append(np.stack((new, np.append(new[1:], len(m)), m[new]), axis=1).astype(np.int64).tobytes())
         return pa.table({"key": keys, "check": check, "runs": pa.array(runs, pa.binary())})
 
-    parts = docs.mapInArrow(fetch, "anchor long, key long, check long, id long, words binary").withColumn("_b", bucket_col(F.col("anchor"), shards))
-    return write_sorted(parts.groupBy("_b").applyInArrow(match, "key long, check long, runs binary"), "runs")
+    parts = map_batches(docs, fetch, "anchor long, key long, check long, id long, words binary").withColumn("_b", bucket_col(F.col("anchor"), shards))
+    return write_sorted(map_groups(parts, "_b", match, "key long, check long, runs binary"), "runs")
 
 
 def substring_dedup(docs: DataFrame, size: int = 50, k: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and spans (first and end word of each removed run)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranked = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    runs = repeats(ranked, size, k)
+    ranked = docs.withColumn("rank", F.coalesce("doc_id", F.lit(NO_ID)))
+    often = frequent(docs, k)
+    runs = repeats(ranked.select("rank", "text"), size, k, often)
 
     def remove(batches):
         for batch in batches:
             for part in pieces(batch):
-                ids = part.column("doc_id").to_numpy()
-                w, _, _, doc, start, count, key, check = _tokens(part, size, k)
+                ids = part.column("rank").to_numpy()
+                w, _, _, doc, start, count, key, check = _tokens(part, size, k, often)
                 hit, got = runs.lookup(key, ["check"])
                 own = np.flatnonzero(hit)
                 own = own[got["check"] == signed(check[own])]
                 mark = np.zeros(len(w) + 1, dtype=np.int64)
                 for i in own:
                     r = np.frombuffer(runs.blobs(key[i], "runs"), dtype=np.int64).reshape(-1, 3)
-                    for a, b, low in r[r[:, 2] < ids[doc[i]]].tolist():
-                        mark[start[i] + a] += 1
-                        mark[start[i] + b + size - 1] -= 1
+                    r = r[r[:, 2] < ids[doc[i]]]
+                    np.add.at(mark, start[i] + r[:, 0], 1)
+                    np.add.at(mark, start[i] + r[:, 1] + size - 1, -1)
                 gone = np.cumsum(mark[:-1]) > 0
-                kept, removed, spans = [], [], []
-                data = w.buf.tobytes()
-                for d in range(part.num_rows):
-                    lo, hi = w.first[d], w.first[d + 1]
-                    g = gone[lo:hi]
-                    removed.append(int(g.sum()))
-                    spans.append(np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).tolist() if removed[-1] else [])
-                    keep = lo + np.flatnonzero(~g)
-                    kept.append(b" ".join(data[s : s + n] for s, n in zip(w.start[keep].tolist(), w.length[keep].tolist(), strict=True)).decode())
-                raw = part.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if i == NO_ID else i for i in raw], pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_words", "n_removed", "kept", "spans"],
-                )
-
-    return ranked.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
+                before = np.concatenate(([0], np.cumsum(gone)))
+                removed = before[w.first[1:]] - before[w.first[:-1]]
+                spans = [[] for _ in removed]
+                for d in np.flatnonzero(removed).tolist():
+                    spans[d] = np.flatnonzero(np.diff(gone[w.first[d] : w.first[d + 1]].astype(np.int8), prepend=0, append=0)).tolist()
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), joined(w, ~gone), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+
+    return map_batches(ranked, remove, "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
 
 
 def sha(words_: list[str]) -> str:

@@ -78,7 +78,7 @@ def test_substring_dedup(docs, none):
 def test_matching_statistics():
     r = np.random.default_rng(2)
     seqs = [r.integers(1, 4, n) for n in (30, 1, 17, 44)]
-    index = substring_dedup.FMIndex(np.concatenate(seqs), np.array([len(s) for s in seqs]), 5)
+    index = substring_dedup.FMIndex(np.concatenate(seqs), np.array([len(s) for s in seqs]), 5, 12)
     queries = [r.integers(0, 5, 40), r.integers(1, 4, 25)]
     text = [",".join(map(str, s)) + "," for s in seqs]
     for q, pos, length, lo, hi in index.matching(queries, 12):
