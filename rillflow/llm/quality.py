@@ -1,16 +1,18 @@
 """A quality classifier: random-indexing word vectors, pooled for each document, and a two-layer network.
 
 Every context has a sparse ternary index vector, made from its hash. A word's vector is the sum of the index
-vectors of the contexts it was met in: words beside it in the sample, and its own beginnings, ends and shape,
-which also give words that the sample doesn't have their vector. A document is the mean of its words' vectors,
-the mean likeness of neighbours and how much the mean is kept by one direction (repeated words). The network
-(tanh, logistic) is trained in numpy with Adam, and its logits are divided by a temperature that is fitted on
-rows the training didn't see.
+vectors of the contexts it was met in: the words up to two places beside it anywhere in the documents, and its own
+beginnings, ends and shape. The sums are gathered from all documents in Spark (a word that a task met once is
+handed on as its contexts, others as their sums), scaled to length 1 and kept as sorted hash arrays in the shared
+folder, which workers map. A document is the mean of its words' vectors, the mean likeness of neighbours and how much
+the mean is kept by one direction (repeated words). The network (tanh, logistic) is trained in numpy with Adam, and
+its logits are divided by a temperature that is fitted on rows the training didn't see.
 
-Fitting uses at most MOST_ROWS labelled rows, chosen by the hash of doc_id; scoring reads whole texts.
+The network is fitted on at most MOST_ROWS labelled rows, chosen by the hash of doc_id, of which the driver gets the
+pooled vectors; fitting and scoring read whole texts.
 
 Defined results: null and empty texts have the score of a document without words; without any label the score
-is 0.5; rows may repeat and columns beside doc_id and text are ignored or passed through.
+is 0.5; rows may repeat; rows without doc_id are scored and not learned from; other columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import Carried, array_folder, map_batches, map_groups, n_buckets, save_array
+from ._store import Sorted, bucket_of
 from ._text import NOT_SPACE, U64, combine, mix, pieces, words
-from ._train import Adam, calibrate, column, sample, sigmoid, sums, unique_words
+from ._train import Adam, calibrate, labelled, sigmoid, sums, unique_words
 
-MOST_ROWS, DIM, HIDDEN, VOCABULARY, INDEX_ROWS, NONZERO = 3000, 40, 24, 20_000, 4096, 6
+MOST_ROWS, DIM, HIDDEN, INDEX_ROWS, NONZERO, BESIDE = 3000, 40, 24, 4096, 6, 2
+#: Words that a task gathers before it hands them on.
+HELD = 600_000
 
 
 def _index_vectors() -> np.ndarray:
@@ -32,10 +38,14 @@ def _index_vectors() -> np.ndarray:
     for r in out:
         at = rng.choice(DIM, NONZERO, replace=False)
         r[at] = rng.choice([-1.0, 1.0], NONZERO)
-    return out / np.sqrt(NONZERO)
+    return out
 
 
-INDEX = _index_vectors()
+TERNARY = _index_vectors()
+INDEX = TERNARY / np.float32(np.sqrt(NONZERO))
+#: As a context, no word; its vector is 0.
+NO_WORD = INDEX_ROWS
+_WITH_NONE = np.concatenate((TERNARY, np.zeros((1, DIM), np.float32))).astype(np.int32)
 
 
 def _kinds() -> np.ndarray:
@@ -65,19 +75,120 @@ def own_contexts(w, which: np.ndarray) -> list[np.ndarray]:
     ]
 
 
+def contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word the index rows of the words beside it in its document."""
+    own = (mix(h) % U64(INDEX_ROWS)).astype(np.uint16)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = np.full((len(h), 2 * BESIDE), NO_WORD, dtype=np.uint16)
+    for d in range(1, min(BESIDE, len(h) - 1) + 1):
+        same = owner[d:] == owner[:-d]
+        out[:-d, 2 * d - 2][same] = own[d:][same]
+        out[d:, 2 * d - 1][same] = own[:-d][same]
+    return out
+
+
+def add_rows(total: np.ndarray, row: np.ndarray, values, step: int = 1 << 15) -> None:
+    """Adds values(which) to these rows of total, so many at a time."""
+    order = np.argsort(row, kind="stable")
+    for lo in range(0, len(order), step):
+        own = order[lo : lo + step]
+        r = row[own]
+        cut = np.flatnonzero(np.diff(r, prepend=-1))
+        total[r[cut]] += np.add.reduceat(values(own), cut, axis=0)
+
+
+def _blob(names: np.ndarray, body: np.ndarray) -> bytes:
+    """names and the rows of body, which are packed by columns: most sums are small."""
+    data = names.tobytes() + np.ascontiguousarray(body.T).tobytes()
+    return np.array([len(names)], "<u4").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unblob(blob: bytes, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n, item = int(np.frombuffer(blob, "<u4", 1)[0]), np.dtype(kind).itemsize
+    data = pa.decompress(blob[4:], n * (8 + width * item), codec="zstd", asbytes=True)
+    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, kind, n * width, 8 * n).reshape(width, n).T
+
+
+def word_vectors(docs: DataFrame, text: str = "text") -> Sorted:
+    """Sorted hashes of all words of docs, with their vectors (`vec`, 127 for length 1)."""
+    spark = docs.sparkSession
+    n, folder = n_buckets(spark, 2), array_folder(spark, "word-vectors")
+
+    def gather(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            h, c = h[order], c[order]
+            cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+            times, bucket = np.diff(np.append(cut, len(h))), bucket_of(h[cut], n)
+            cuts = np.searchsorted(bucket, np.arange(n + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                at, k = cut[cuts[b] : cuts[b + 1]], times[cuts[b] : cuts[b + 1]]
+                lo, hi = int(at[0]), int(at[-1] + k[-1])
+                total = np.zeros((len(at), DIM), dtype=np.int32)
+                for j in range(2 * BESIDE):
+                    total += np.add.reduceat(_WITH_NONE[c[lo:hi, j]], at - lo, axis=0)
+                once = k == 1
+                yield b, _blob(h[at[once]], c[at[once]]), _blob(h[at[~once]], total[~once])
+
+        def rows():
+            out = list(flush())
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))], names=["_b", "once", "more"])
+
+        for batch in batches:
+            for part in pieces(batch):
+                w = words(part.column("text"), NOT_SPACE)
+                h = w.hashes(0)
+                held.append((h, contexts(h, w.first)))
+                size += len(h)
+                if size > HELD:
+                    yield rows()
+                    size = 0
+        if size:
+            yield rows()
+
+    def merge(group: pa.Table) -> pa.Table:
+        b = group.column("_b")[0].as_py()
+        once = [_unblob(x.as_py(), np.uint16, 2 * BESIDE) for x in group.column("once")]
+        more = [_unblob(x.as_py(), np.int32, DIM) for x in group.column("more")]
+        names, row = np.unique(np.concatenate([k for k, _ in once + more]), return_inverse=True)
+        total, at = np.zeros((len(names), DIM), dtype=np.int32), 0
+        for k, c in once:
+            add_rows(total, row[at : at + len(k)], lambda i, c=c: sum(_WITH_NONE[c[i, j]] for j in range(2 * BESIDE)))
+            at += len(k)
+        for k, t in more:
+            add_rows(total, row[at : at + len(k)], lambda i, t=t: t[i])
+            at += len(k)
+        size = np.sqrt((total.astype(np.float32) ** 2).sum(axis=1, keepdims=True))
+        save_array(f"{folder}/{b}.key.npy", names)
+        save_array(f"{folder}/{b}.vec.npy", np.rint(total * (127 / np.maximum(size, 1))).astype(np.int8))
+        return pa.table({"b": pa.array([b], pa.int32()), "n": pa.array([len(names)], pa.int64())})
+
+    rows = map_batches(docs.select(F.col(text).alias("text")), gather, "_b int, once binary, more binary")
+    sizes = np.zeros(n, dtype=np.int64)
+    for r in map_groups(rows, "_b", merge, "b int, n long").collect():  # one row for each bucket
+        sizes[r["b"]] = r["n"]
+    return Sorted(folder, sizes, {})
+
+
 class Model:
-    def __init__(self):
-        self.vocabulary, self.vectors = np.empty(0, np.uint64), np.zeros((0, DIM), np.float32)
+    def __init__(self, store: Sorted | None = None):
+        self.store = store
         self.mean, self.scale, self.params, self.temperature, self.bias = None, None, None, 1.0, 0.0
 
     def word_vectors(self, w, names: np.ndarray, which: np.ndarray) -> np.ndarray:
         v = np.zeros((len(which), DIM), dtype=np.float32)
         for c in own_contexts(w, which):
             v += INDEX[(c % U64(INDEX_ROWS)).astype(np.int64)]
-        if len(self.vocabulary):
-            at = np.minimum(np.searchsorted(self.vocabulary, names), len(self.vocabulary) - 1)
-            hit = self.vocabulary[at] == names
-            v[hit] += self.vectors[at[hit]]
+        if self.store is not None:
+            found, bucket, place = self.store.places(names)
+            for b in np.unique(bucket[found]).tolist():
+                own = np.flatnonzero(found & (bucket == b))
+                v[own] += self.store.part(b, "vec")[place[own]].astype(np.float32) / 127
         return v
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -100,32 +211,6 @@ class Model:
         rest = np.stack((square, near, one, one / np.maximum(square, 1e-6), np.log1p(n), n == 0), axis=1)
         return np.concatenate((mean, rest.astype(np.float32)), axis=1)
 
-    def fit_vectors(self, texts: list[str]) -> None:
-        """Random indexing over the sample: each word gathers the index vectors of the words beside it."""
-        parts = []
-        for lo in range(0, len(texts), 200):
-            w = words(column(texts[lo : lo + 200]), NOT_SPACE)
-            parts.append((w.hashes(0), w.doc() + lo))
-        h, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(h):
-            return
-        names, back = np.unique(h, return_inverse=True)
-        count = np.bincount(back)
-        index = INDEX[(mix(names) % U64(INDEX_ROWS)).astype(np.int64)]
-        top = np.sort(np.argsort(-count, kind="stable")[:VOCABULARY])
-        rank = np.full(len(names), -1)
-        rank[top] = np.arange(len(top))
-        total = np.zeros((len(top), DIM), dtype=np.float64)
-        for d in (1, 2):
-            same = np.flatnonzero(owner[d:] == owner[:-d])
-            for a, b in ((back[same], back[same + d]), (back[same + d], back[same])):
-                r = rank[a]
-                own = r >= 0
-                for j in range(DIM):
-                    total[:, j] += np.bincount(r[own], weights=index[b[own], j], minlength=len(top))
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        self.vocabulary, self.vectors = names[top], (total / np.maximum(size, 1e-9)).astype(np.float32)
-
     def logits(self, x: np.ndarray) -> np.ndarray:
         p = self.params
         return (np.tanh(((x - self.mean) / self.scale) @ p["a"] + p["b"]) @ p["c"] + p["d"])[:, 0]
@@ -136,13 +221,11 @@ class Model:
         return sigmoid(self.logits(self.features(texts)).astype(np.float64) / self.temperature + self.bias)
 
 
-def fit_texts(texts: list[str], y: np.ndarray, epochs: int = 40) -> Model:
-    model = Model()
+def fit_network(model: Model, x: np.ndarray, y: np.ndarray, epochs: int = 40) -> Model:
+    """x: a row of features for each label."""
     y = y.astype(np.float32)
     if not len(y):
         return model
-    model.fit_vectors(texts)
-    x = np.concatenate([model.features(column(texts[i : i + 200])) for i in range(0, len(texts), 200)])
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     rng = np.random.default_rng(3)
     order = rng.permutation(len(y))
@@ -154,7 +237,7 @@ def fit_texts(texts: list[str], y: np.ndarray, epochs: int = 40) -> Model:
     z = (x - model.mean) / model.scale
     for _ in range(epochs):
         for lo in range(0, len(fit_on), 64):
-            i = rng.permutation(fit_on)[:64] if lo == 0 else fit_on[lo : lo + 64]
+            i = fit_on[lo : lo + 64]
             h = np.tanh(z[i] @ p["a"] + p["b"])
             g = (sigmoid((h @ p["c"] + p["d"])[:, 0]) - y[i])[:, None] / len(i)
             back = (g @ p["c"].T) * (1 - h**2)
@@ -166,17 +249,28 @@ def fit_texts(texts: list[str], y: np.ndarray, epochs: int = 40) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS) -> Model:
-    return fit_texts(*sample(docs, labels, label, most, most_chars=8000))
+    """Word vectors of all docs; the network from at most `most` labelled ones."""
+    model = Model(word_vectors(docs))
+    few = labelled(docs, labels, label, most)
+
+    def pooled(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 19):
+                x = model.features(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+
+    kinds = dict(few.dtypes)
+    rows = map_batches(few.select("doc_id", "y", "text"), pooled, f"doc_id {kinds['doc_id']}, y {kinds['y']}, x binary").toPandas().sort_values(["doc_id", "x", "y"])
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.float32)
+    return fit_network(model, x, rows["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns and score."""
-    kept = docs.select(*keep, F.col(text).alias("_scan"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "_scan", 1 << 19):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.scores(part.column("_scan")), pa.float64())], names=[*keep, "score"])
+                yield [*part.columns[:-1], pa.array(model.scores(part.column("_scan")), pa.float64())]
 
-    return kept.mapInArrow(run, f"{schema}, score double")
+    return Carried(docs, keep, F.col(text).alias("_scan")).run(run, "score double")
