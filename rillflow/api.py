@@ -4,29 +4,45 @@ from __future__ import annotations
 
 import dataclasses
 import queue
-import tempfile
+import time
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import InputTimeout, InvalidConfig, SqlError, Unavailable
+from .errors import InputTimeout, InvalidConfig, SqlError, ThreadPoisoned, Unavailable
+from .functions.values import Duration, Timestamp
 from .plans.compiler import Plan, with_rowtime
 from .plans.parser import Connector, Pump, Stream, parse
-from .sources.connectors import Landing, Reader, Writer, check
-from .sources.rows import SinkRow, SourceRow, accept, from_json, to_json
-from .streaming import exact
+from .sources.connectors import Landing, Reader, Reporter, Writer, check
+from .sources.folders import drop_folder, new_folder
+from .sources.rows import SinkRow, SourceRow, SourceRowBuilder, from_columns, to_json
+from .streaming.live import Flow, Memory
+
+#: The settings that files may have, and their defaults.
+DEFAULTS = {
+    "worker": {"n_generic_worker_threads": 1, "n_source_worker_threads": 1, "sleep_msec_no_row": 100},
+    "memory": {
+        "upper_limit_bytes": 10_000_000, "moderate_to_severe_percent": 60, "severe_to_critical_percent": 95, "critical_to_severe_percent": 80, "severe_to_moderate_percent": 40,
+        "memory_state_transition_interval_msec": 10, "performance_metrics_summary_report_interval_msec": 10,
+    },
+    "web_console": {"enable_report_post": False, "report_interval_msec": 3_000, "host": "127.0.0.1", "port": 8050, "timeout_msec": 3_000},
+    "source_reader": {"net_connect_timeout_msec": 1_000, "net_read_timeout_msec": 100, "can_read_timeout_msec": 100},
+    "sink_writer": {"net_connect_timeout_msec": 1_000, "net_write_timeout_msec": 100, "http_connect_timeout_msec": 1_000, "http_timeout_msec": 100},
+}
 
 
 @dataclasses.dataclass(frozen=True)
 class Config:
-    """Settings, by section and name. Those of worker threads and memory limits are kept for old files; Spark has its own."""
+    """Settings, by section and name. worker: `sleep_msec_no_row` is the pause between micro-batches; Spark has its own threads. memory: open panes are purged
+    only if a file sets `upper_limit_bytes` (purges)."""
 
-    worker: dict = dataclasses.field(default_factory=lambda: {"n_generic_worker_threads": 1, "n_source_worker_threads": 1})
-    memory: dict = dataclasses.field(default_factory=lambda: {"upper_limit_bytes": 10_000_000})
-    web_console: dict = dataclasses.field(default_factory=lambda: {"enable_report_post": False})
-    source_reader: dict = dataclasses.field(default_factory=lambda: {"net_connect_timeout_msec": 1000, "net_read_timeout_msec": 100})
-    sink_writer: dict = dataclasses.field(default_factory=lambda: {"net_connect_timeout_msec": 1000, "net_write_timeout_msec": 100})
+    worker: dict = dataclasses.field(default_factory=lambda: dict(DEFAULTS["worker"]))
+    memory: dict = dataclasses.field(default_factory=lambda: dict(DEFAULTS["memory"]))
+    web_console: dict = dataclasses.field(default_factory=lambda: dict(DEFAULTS["web_console"]))
+    source_reader: dict = dataclasses.field(default_factory=lambda: dict(DEFAULTS["source_reader"]))
+    sink_writer: dict = dataclasses.field(default_factory=lambda: dict(DEFAULTS["sink_writer"]))
+    purges: bool = False
 
     @classmethod
     def from_toml(cls, text: str) -> Config:
@@ -34,10 +50,15 @@ class Config:
             given = tomllib.loads(text)
         except tomllib.TOMLDecodeError as e:
             raise InvalidConfig(str(e)) from e
-        base = cls()
-        if unknown := set(given) - {f.name for f in dataclasses.fields(cls)}:
-            raise InvalidConfig(f"unknown sections: {', '.join(sorted(unknown))}")
-        return dataclasses.replace(base, **{k: getattr(base, k) | v for k, v in given.items()})
+        for section, values in given.items():
+            if section not in DEFAULTS or not isinstance(values, dict):
+                raise InvalidConfig(f"no section {section}")
+            for k, v in values.items():
+                if k not in DEFAULTS[section]:
+                    raise InvalidConfig(f"no setting {section}.{k}")
+                if type(v) is not type(DEFAULTS[section][k]) or (isinstance(v, int) and v < 0):
+                    raise InvalidConfig(f"{section}.{k} can't be {v!r}")
+        return dataclasses.replace(cls(), **{k: DEFAULTS[k] | v for k, v in given.items()}, purges="upper_limit_bytes" in given.get("memory", {}))
 
 
 class Pipeline:
@@ -49,7 +70,11 @@ class Pipeline:
         self.writers: dict[str, Connector] = {}
         self.inputs: dict[str, queue.Queue] = {}
         self.outputs: dict[str, queue.Queue] = {}
-        self._running: list = []
+        self._readers: list[Reader] = []
+        self._writers: dict[str, Writer] = {}
+        self._query = self._flow = self._landing = self._reporter = self._memory = None
+        self._began = 0.0
+        # times are UTC: that of the whole session
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def command(self, sql: str) -> None:
@@ -136,71 +161,142 @@ class Pipeline:
             if types[c.name] in ("DOUBLE", "NTZ"):
                 v, types[c.name] = (v.cast("float"), "FLOAT") if types[c.name] == "DOUBLE" else (v.cast("timestamp"), "TIMESTAMP")
             cols.append(v.alias(c.name))
-        return accept(df.select(*cols, seq), s, types)
+        return from_columns(df.select(*cols, seq), s, types)
 
     def run_batch(self, tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, DataFrame]:
         """All pumps over stored tables (frame and arrival order of each source stream): a frame for each stream, with its columns only."""
         done = self.frames({k: self.source(k, df, by) for k, (df, by) in tables.items()}, lambda p, frames: p.batch(frames))
         return {k: df.select(*[f"`{c.name}`" for c in self.streams[k].columns]) for k, df in done.items()}
 
+    def replay(self, tables: dict[str, tuple[DataFrame, str]], batches: int) -> dict[str, DataFrame]:
+        """Stored tables through the live engine, in so many micro-batches of equal ranges of arrival numbers: what each stream got, with its columns only.
+
+        tables: frame and the column with the arrival number, by source stream; all streams' numbers are in one order."""
+        folder = new_folder(self.spark, "replay")
+        given = {n: self.source(n, df, [by]) for n, (df, by) in tables.items()}
+        lo, hi = float("inf"), -float("inf")
+        for df in given.values():
+            r = df.agg(F.min(F.col("__seq")[0]).alias("lo"), F.max(F.col("__seq")[0]).alias("hi")).first()
+            if r["lo"] is not None:
+                lo, hi = min(lo, r["lo"]), max(hi, r["hi"])
+        schemas: dict = {}
+
+        def write(frames: dict[str, DataFrame]) -> None:
+            for n, df in frames.items():
+                schemas[n] = df.schema
+                df.write.mode("append").parquet(f"{folder}/out/{n}")
+
+        flow = Flow(self.spark, folder, self.streams, self.frames, set(given), write)
+        if lo > hi:
+            lo, hi, batches = 0, 0, 1
+        step = -(-(hi - lo + 1) // batches)
+        for b in range(batches):
+            own = F.col("__seq")[0].between(lo + b * step, lo + (b + 1) * step - 1)
+            flow.take({n: df.filter(own) for n, df in given.items()}, b)
+        return {n: self.spark.read.schema(schema).parquet(f"{folder}/out/{n}").select(*[f"`{c.name}`" for c in self.streams[n].columns]) for n, schema in schemas.items()}
+
     def start(self) -> None:
-        """Readers, one streaming query for each writer, and pops begin."""
+        """Readers, the streaming query and pops begin. A peer that can't be reached is ForeignIo."""
         self.stop()
-        timeout = self.config.source_reader["net_connect_timeout_msec"] / 1000
-        given = {}
-        for name in {r.stream for r in self.readers.values()}:
-            folder = tempfile.mkdtemp(prefix="rillflow-landing-")
-            landing = Landing(folder)
-            for r in self.readers.values():
-                if r.stream == name:
-                    reader = Reader(r, landing, self.inputs, timeout)
-                    reader.start()
-                    self._running.append(reader)
-            lines = self.spark.readStream.text(folder)
-            lines = lines.select(F.expr("substring(value, instr(value, '\t') + 1)").alias("value"), F.array(F.expr("substring(value, 1, instr(value, '\t') - 1)").cast("bigint")).alias("__seq"))
-            given[name] = from_json(lines, self.streams[name])
-        done = self.frames(given, exact.stream)
-        for w in self.writers.values():
-            s, writer = self.streams[w.stream], Writer(w, self.outputs, self.config.sink_writer["net_connect_timeout_msec"] / 1000)
-            names = [c.name for c in s.columns]
+        folder = new_folder(self.spark, "pipeline")
+        self._landing, self._began = Landing(self.spark, f"{folder}/landing"), time.time()
+        self._memory, self._folder = Memory(self.config.memory), folder
+        try:
+            self._writers = {w.name: Writer(w, self.outputs, self.config.sink_writer) for w in self.writers.values()}
+            self._readers = [Reader(r, self._landing, self.inputs, self.config.source_reader) for r in self.readers.values()]
+        except Exception:
+            self.stop()
+            raise
+        sources = {s.name for s in self.streams.values() if s.kind == "source"} | {r.stream for r in self.readers.values()}
+        self._flow = Flow(self.spark, folder, self.streams, self.frames, sources, self._send)
+        lines = self.spark.readStream.option("cleanSource", "delete").text(f"{folder}/landing")
+        pause = f"{max(1, self.config.worker['sleep_msec_no_row'])} milliseconds"
+        self._query = lines.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=pause).start()
+        for r in self._readers:
+            r.start()
+        if self.config.web_console["enable_report_post"]:
+            self._reporter = Reporter(self.metrics, self.config.web_console)
+            self._reporter.start()
 
-            def send(df: DataFrame, _: int, s=s, writer=writer, names=names) -> None:
-                out = df.orderBy("__seq")
-                text = to_json(out, s).select("value") if writer.c.type == "NET_CLIENT" else None
-                if text is not None:
-                    writer.send(((r[0],) for r in text.toLocalIterator()), [])
-                else:
-                    writer.send(((*r, None) for r in out.select(*[f"`{n}`" for n in names]).toLocalIterator()), names)
+    def _batch(self, lines: DataFrame, number: int) -> None:
+        self._flow(lines, number)
+        if self.config.purges:
+            used = sum(self._flow.bytes().values())
+            for _ in range(2):
+                self._memory.see(used)
+            if self._memory.state == "Critical":
+                self._flow.purge()
 
-            q = done[w.stream].writeStream.foreachBatch(send).option("checkpointLocation", tempfile.mkdtemp(prefix="rillflow-checkpoint-")).trigger(processingTime="200 milliseconds").start()
-            self._running.append((q, writer))
+    def _send(self, frames: dict[str, DataFrame]) -> None:
+        for writer in self._writers.values():
+            s = self.streams[writer.c.stream]
+            if s.name not in frames:
+                continue
+            out, names = frames[s.name].orderBy("__seq"), [c.name for c in s.columns]
+            if writer.c.type == "NET_CLIENT":
+                rows = (r[0] for r in to_json(out, s).select("value").toLocalIterator())
+            else:
+                rows = (list(r) for r in out.select(*[f"`{n}`" for n in names]).toLocalIterator())
+            writer.send(rows, names, [c.type for c in s.columns])
 
     def stop(self) -> None:
-        for x in self._running:
-            if isinstance(x, Reader):
-                x.ending.set()
-            else:
-                x[0].stop()
-                x[1].close()
-        for x in self._running:
-            if isinstance(x, Reader):
-                x.join(5)
-        self._running = []
+        """Ends readers and the query; open panes are lost, as are rows that no micro-batch has taken."""
+        for r in (*self._readers, *([self._reporter] if self._reporter else [])):
+            r.ending.set()
+        for r in self._readers:
+            if r.is_alive():
+                r.join(5)
+            elif r.socket is not None:
+                r.socket.close()
+        if self._query is not None:
+            self._query.stop()
+        for w in self._writers.values():
+            w.close()
+        if self._landing is not None:
+            drop_folder(self.spark, self._folder)
+        self._readers, self._writers, self._query, self._landing, self._reporter = [], {}, None, None, None
+
+    def _alive(self) -> None:
+        for r in self._readers:
+            if r.error is not None:
+                raise r.error
+        if self._query is not None and (e := self._query.exception()) is not None:
+            raise ThreadPoisoned("the pipeline's query has ended") from e
 
     def metrics(self) -> dict:
-        """Progress of the running queries, by writer: rows and bytes waiting and rows a second."""
-        tasks = []
-        for x in self._running:
-            if not isinstance(x, Reader) and x[0].lastProgress:
-                last = x[0].lastProgress
-                tasks.append({"id": x[1].c.name, "input_rows_per_second": last.get("inputRowsPerSecond"), "rows": last.get("numInputRows"), "state": last.get("stateOperators")})
-        queues = [{"id": k, "row-queue": {"num-rows": q.qsize()}} for k, q in (*self.inputs.items(), *self.outputs.items())]
+        """Tasks with their gain in bytes a second since the start (what they land, keep in open panes or send away), and queues with what waits in them."""
+        seconds = max(time.time() - self._began, 1e-3)
+        landed = dict(self._landing.bytes) if self._landing else {}
+        kept = self._flow.bytes() if self._flow and self._query else {}
+        rate = lambda n: n / seconds
+        tasks = [{"id": r.name, "type": "source-task", "avg-gain-bytes-per-sec": rate(landed.get(r.stream, 0))} for r in self.readers.values()]
+        tasks += [{"id": n, "type": "pump-task", "avg-gain-bytes-per-sec": rate(sum(kept.get(f"{n}-{k}", 0) for k in ("join", "average")))} for n in self.pumps]
+        tasks += [{"id": n, "type": "sink-task", "avg-gain-bytes-per-sec": -rate(self._writers[n].bytes if n in self._writers else 0)} for n in self.writers]
+        feeds: dict[str, list[str]] = {}
+        for r in self.readers.values():
+            feeds.setdefault(r.stream, []).append(r.name)
+        for n, p in self.pumps.items():
+            feeds.setdefault(p.pump.target, []).append(n)
+        queues, states = [], self._flow.states if self._flow else {}
+        for n, p in self.pumps.items():
+            for stream in (p.pump.source[0], *([p.pump.join[0]] if p.pump.join else [])):
+                own = {"id": f"{stream}-{n}", "upstream-task-id": feeds.get(stream, [""])[0], "downstream-task-id": n}
+                waiting = [(states[k].rows, kept.get(k, 0)) for k in (f"{n}-join", f"{n}-average") if k in states]
+                if p.pump.window is not None:
+                    queues.append(own | {"window-queue": {"num-rows-waiting": sum(x for x, _ in waiting), "total-bytes": sum(x for _, x in waiting)}})
+                else:  # each micro-batch takes all rows there are
+                    queues.append(own | {"row-queue": {"num-rows": 0, "total-bytes": 0}})
+        for w in self.writers.values():
+            q = self.outputs.get(w.options.get("NAME", "")) if w.type == "IN_MEMORY_QUEUE" else None
+            rows = list(q.queue) if q else []
+            queues.append({"id": f"{w.stream}-{w.name}", "upstream-task-id": feeds.get(w.stream, [""])[0], "downstream-task-id": w.name, "row-queue": {"num-rows": len(rows), "total-bytes": sum(len(str(v)) for r in rows for v in r[1])}})
         return {"tasks": tasks, "queues": queues}
 
     def push(self, name: str, row: SourceRow) -> None:
         if name not in self.inputs:
             raise Unavailable(f"no queue {name}")
-        self.inputs[name].put(row.json())
+        self._alive()
+        self.inputs[name].put(row)
 
     def pop_non_blocking(self, name: str) -> SinkRow | None:
         if name not in self.outputs:
@@ -208,15 +304,18 @@ class Pipeline:
         try:
             return SinkRow(*self.outputs[name].get_nowait())
         except queue.Empty:
+            self._alive()
             return None
 
     def pop(self, name: str, timeout: float = 30) -> SinkRow:
-        if name not in self.outputs:
-            raise Unavailable(f"no queue {name}")
-        try:
-            return SinkRow(*self.outputs[name].get(timeout=timeout))
-        except queue.Empty as e:
-            raise InputTimeout(f"nothing in {name} for {timeout} s") from e
+        end = time.time() + timeout
+        while True:
+            row = self.pop_non_blocking(name)
+            if row is not None:
+                return row
+            if time.time() > end:
+                raise InputTimeout(f"nothing in {name} for {timeout} s")
+            time.sleep(0.01)
 
 
-__all__ = ["Config", "Pipeline", "SinkRow", "SourceRow", "with_rowtime"]
+__all__ = ["Config", "Duration", "Pipeline", "SinkRow", "SourceRow", "SourceRowBuilder", "Timestamp", "with_rowtime"]

@@ -43,15 +43,14 @@ def convert(c: Column, source: str, target: str, lenient: bool = False) -> Colum
         return cast(c, SPARK[target])
     if source in SIGNED + UNSIGNED and target in UNSIGNED and not (source in UNSIGNED and target not in UNSIGNED):
         wide = c.cast("decimal(20,0)")
-        ok = (wide >= 0) & (wide <= F.lit(_TOP[target]).cast("decimal(20,0)"))
+        ok = (wide >= 0) & (wide <= F.lit(str(_TOP[target])).cast("decimal(20,0)"))
         return F.when(ok, cast(c, SPARK[target])) if lenient else _checked(c, ok, f"out of range for {target}").cast(SPARK[target])
     if source in SIGNED and target == "FLOAT":
         return c.cast("float")
     if source == "FLOAT" and target in SIGNED:
         lo, hi = {"SMALLINT": (-(1 << 15), (1 << 15) - 1), "INTEGER": (-(1 << 31), (1 << 31) - 1), "BIGINT": (-(1 << 63), (1 << 63) - 1)}[target]
-        up = F.ceil(c.cast("double")) if target != "BIGINT" else F.ceil(c.cast("double"))
         d = c.cast("double")
-        return F.when(d.isNull(), None).when(F.isnan(d), 0).when(d <= lo, lo).when(d > hi - 1, hi).otherwise(up).cast(SPARK[target])  # saturates
+        return F.when(d.isNull(), None).when(F.isnan(d), 0).when(d <= lo, lo).when(d > hi - 1, hi).otherwise(F.ceil(d)).cast(SPARK[target])  # saturates
     if source == "TEXT" and target == "TIMESTAMP":
         return F.try_to_timestamp(c) if lenient else F.to_timestamp(c)
     if source == "TIMESTAMP" and target == "TEXT":

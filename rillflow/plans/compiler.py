@@ -11,6 +11,7 @@ from ..errors import SqlError
 from ..functions.expressions import as_predicate, compile_expression
 from ..functions.types import SIGNED, SPARK, convert
 from ..operators import windows
+from ..sources.folders import table
 from .parser import Avg, Col, Name, Pump, Stream
 
 
@@ -92,43 +93,63 @@ class Plan:
             if not c.nullable:
                 v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit(f"NULL into {c.name}")).cast(SPARK[c.type]))
             out.append(v.alias(c.name))
-        df = df.select(*out, F.col("__rt").alias("__arrived"), "__seq")
+        df = df.select(*out, "__seq")
         return with_rowtime(df, self.target)
 
-    def batch(self, frames: dict[str, DataFrame]) -> DataFrame:
-        p, w = self.pump, self.pump.window
-        df = frames[p.source[0]]
-        if p.join:
-            df = self.join(df, frames[p.join[0]])
-        if not self.aggregates:
-            return self.insert(df, [compile_expression(e, self.scope)[0] for e, _ in p.select])
+    def grouped_rows(self, df: DataFrame) -> DataFrame:
+        """`__rt`, `__seq`, the keys and the value to average."""
         keys = [compile_expression(e, self.scope)[0].alias(f"__k{i}") for i, e in enumerate(self.keys)]
-        value = compile_expression(self.aggregates[0].of, self.scope)[0].alias("__v")
-        rows = df.select("__rt", "__seq", *keys, value)
-        names = [f"__k{i}" for i in range(len(keys))]
-        grouped = windows.panes(windows.on_time(rows, w.delay), w).groupBy("__open", "__close", *names).agg(windows.rounded_average(F.col("__v")).alias("__avg"))
-        grouped = windows.closed(grouped, windows.watermark(rows, w.delay)).withColumn("__rt", F.col("__open")).withColumn("__seq", F.array("__close"))
-        return self.insert(grouped, [F.col("__avg") if isinstance(e, Avg) else F.col(f"__k{self.keys.index(e)}") for e, _ in p.select])
-
-    def join(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Rows of both sides move one watermark; a pane's rows are joined when it closes."""
-        w, cols = self.pump.window, ("l", "r")
-        sides = []
+        return df.select("__rt", "__seq", *keys, compile_expression(self.aggregates[0].of, self.scope)[0].cast("double").alias("__v"))
+
+    def sums(self, live: DataFrame) -> DataFrame:
+        """Of each pane and group the sum and number of its values: all that a pane needs to keep."""
+        return windows.panes(live, self.pump.window).groupBy("__open", "__close", *self.key_names()).agg(F.sum("__v").alias("__sum"), F.count("__v").alias("__n"))
+
+    def key_names(self) -> list[str]:
+        return [f"__k{i}" for i in range(len(self.keys))]
+
+    def averages(self, done: DataFrame) -> DataFrame:
+        """Rows of the target from the sums of closed panes."""
+        out = done.withColumn("__avg", windows.rounded_average(F.col("__sum"), F.col("__n"))).withColumn("__rt", F.col("__open")).withColumn("__seq", F.array("__close"))
+        return self.insert(out, [F.col("__avg") if isinstance(e, Avg) else F.col(f"__k{self.keys.index(e)}") for e, _ in self.pump.select])
+
+    def joined_rows(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of both sides, as structs l and r, in one arrival order: where numbers are equal, left first."""
+        cols, sides = ("l", "r"), []
         for i, (df, s) in enumerate(((left, self.source), (right, self.right))):
             own = F.struct(*[F.col(f"`{c.name}`") for c in s.columns]).alias(cols[i])
             other = F.lit(None).cast((right if i == 0 else left).select(F.struct(*[F.col(f"`{c.name}`") for c in (self.right if i == 0 else self.source).columns]).alias("x")).schema["x"].dataType).alias(cols[1 - i])
             sides.append(df.select(F.lit(i).alias("__side"), F.concat("__seq", F.array(F.lit(i).cast("bigint"))).alias("__seq"), "__rt", *([own, other] if i == 0 else [other, own])))
-        both = sides[0].unionByName(sides[1])
-        live = windows.panes(windows.on_time(both, w.delay), w)
-        live = windows.closed(live, windows.watermark(both, w.delay))
-        a = live.filter("__side = 0").select("l", "__rt", "__seq", "__open", "__close")
-        b = live.filter("__side = 1").select("r", F.col("__seq").alias("__rseq"), F.col("__open").alias("__ropen"))
+        return sides[0].unionByName(sides[1])
+
+    def matches(self, done: DataFrame) -> DataFrame:
+        """The rows of closed panes joined; in order of closing, left and right arrival."""
+        a = done.filter("__side = 0").select("l", "__rt", "__seq", "__open", "__close")
+        b = done.filter("__side = 1").select("r", F.col("__seq").alias("__rseq"), F.col("__open").alias("__ropen"))
         out = a.join(b, (F.col("__open") == F.col("__ropen")) & as_predicate(self.pump.join[2], self.scope), "left")
         seq = F.concat(F.array("__close"), F.col("__seq"), F.coalesce("__rseq", F.array().cast("array<bigint>")))
         return out.select("l", "r", "__rt", seq.alias("__seq"))
 
+    def project(self, df: DataFrame) -> DataFrame:
+        return self.insert(df, [compile_expression(e, self.scope)[0] for e, _ in self.pump.select])
+
+    def batch(self, frames: dict[str, DataFrame]) -> DataFrame:
+        """Over all rows there are; panes that the last watermark hasn't closed stay open and give nothing."""
+        p, w = self.pump, self.pump.window
+        df = frames[p.source[0]]
+        if p.join:
+            live, top = windows.on_time(self.joined_rows(df, frames[p.join[0]]), w.delay)
+            df = self.matches(windows.panes(live, w).filter(windows.closed(None if top is None else top - w.delay)))
+        if not self.aggregates:
+            return self.project(df)
+        rows = self.grouped_rows(df)
+        if p.join:  # read twice below, so the join runs once
+            rows = table(rows, "joined")
+        live, top = windows.on_time(rows, w.delay)
+        return self.averages(self.sums(live).filter(windows.closed(None if top is None else top - w.delay)))
+
 
 def with_rowtime(df: DataFrame, stream: Stream) -> DataFrame:
-    """__rt from the ROWTIME column, or from the arrival time."""
-    rt = F.unix_micros(F.col(f"`{stream.rowtime}`")) if stream.rowtime else F.unix_micros(F.current_timestamp())
-    return df.withColumn("__rt", rt).drop("__arrived")
+    """__rt from the ROWTIME column, or from the arrival time: `__at` where the reader gave one, else now."""
+    rt = F.unix_micros(F.col(f"`{stream.rowtime}`")) if stream.rowtime else F.col("__at") if "__at" in df.columns else F.unix_micros(F.current_timestamp())
+    return df.withColumn("__rt", rt).drop("__at")

@@ -99,8 +99,15 @@ JOINED = "ts TIMESTAMP NOT NULL ROWTIME, event_id BIGINT NOT NULL, other BIGINT"
 JOIN = "FROM l LEFT OUTER JOIN r ON l.user_id = r.user_id"
 
 
+def _unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and products of unsigned columns."""
+    p = pipeline(spark, "CREATE SOURCE STREAM e (event_id BIGINT NOT NULL, user_id UNSIGNED INTEGER NOT NULL);", "CREATE SINK STREAM out_s (event_id BIGINT NOT NULL, a UNSIGNED BIGINT NOT NULL, b UNSIGNED INTEGER NOT NULL);", into("event_id, a, b", "e.event_id, e.user_id * e.user_id, e.user_id + e.user_id"))
+    out = p.run_batch({"e": (events(spark, sf_dir).select("event_id", "user_id"), ["event_id"])})["out_s"]
+    return out.select("event_id", F.col("a").cast("bigint").alias("a"), "b")
+
+
 def push_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the first user as JSON through a projection, as a source reads them."""
+    """All events as JSON through a projection, as a source reads them."""
     from .sources.rows import from_json, to_json
 
     p = pipeline(spark, "CREATE SOURCE STREAM s (ts TIMESTAMP NOT NULL ROWTIME, user_id INTEGER NOT NULL, event_type TEXT NOT NULL);", "CREATE SINK STREAM out_s (ts TIMESTAMP NOT NULL ROWTIME, user_id INTEGER NOT NULL, event_type TEXT NOT NULL);", into("ts, user_id, event_type", "s.ts, s.user_id, s.event_type", "FROM s"))
@@ -141,6 +148,11 @@ QUERIES = {
     "fan_in_union_all": over_events("v BIGINT NOT NULL", into("v", "m.v", "FROM m", name="last"), "CREATE STREAM m (v BIGINT NOT NULL);", into("v", "e.user_id", name="a", target="m"), into("v", "e.event_id", name="b", target="m")),
     "multi_hop": over_events("ts TIMESTAMP NOT NULL ROWTIME, avg_value FLOAT NOT NULL", into("ts, avg_value", "FLOOR_TIME(m.ts, DURATION_SECS(3600)) AS t, AVG(m.v) AS a", f"FROM m GROUP BY t {_FIXED}"), "CREATE STREAM m (ts TIMESTAMP NOT NULL ROWTIME, v FLOAT NOT NULL);", into("ts, v", "e.ts, e.value", name="first", target="m")),
     "json_roundtrip": push_pop,
+    "from_alias": over_events("event_id BIGINT NOT NULL", into("event_id", "x.event_id", "FROM e AS x")),
+    "floor_function": over_events("event_id BIGINT NOT NULL, v FLOAT NOT NULL", into("event_id, v", "e.event_id, FLOOR(e.value)")),
+    "unsigned_arithmetic": _unsigned,
+    "window_without_aggregate": over_events("event_id BIGINT NOT NULL", into("event_id", "e.event_id", f"FROM e {_FIXED}")),
+    "literals_and_labels": over_events("event_id BIGINT NOT NULL, a TEXT NOT NULL, b FLOAT NOT NULL, c BOOLEAN NOT NULL, d BIGINT", into("event_id, a, b, c, d", "e.event_id, 'it is', 1.5, TRUE, NULL")),
 }
 
 _LATE = sql_avg(HOUR, HOUR, HOUR, "event_type := event_type", order="user_id, event_id")
@@ -175,4 +187,9 @@ ORACLES = {
     "fan_in_union_all": "SELECT user_id AS v FROM events UNION ALL SELECT event_id FROM events",
     "multi_hop": sql_avg(HOUR, HOUR, 0, f"ts := {sql_floor('ts', HOUR)}"),
     "json_roundtrip": "SELECT ts, CAST(user_id AS INTEGER) AS user_id, event_type FROM events",
+    "from_alias": "SELECT event_id FROM events",
+    "floor_function": "SELECT event_id, CAST(floor(CAST(value AS FLOAT)) AS DOUBLE) AS v FROM events",
+    "unsigned_arithmetic": "SELECT event_id, user_id * user_id AS a, user_id + user_id AS b FROM events",
+    "window_without_aggregate": "SELECT event_id FROM events",
+    "literals_and_labels": "SELECT event_id, 'it is' AS a, CAST(1.5 AS DOUBLE) AS b, true AS c, CAST(NULL AS BIGINT) AS d FROM events",
 }

@@ -1,20 +1,28 @@
 """Readers feed a stream from outside; writers send a sink stream's rows out.
 
-A reader runs in a thread of the driver and lands JSON lines as small files, which the streaming query reads in
-order of arrival. A writer gets each micro-batch from foreachBatch, in order, row by row through an iterator.
+A reader runs in a thread of the driver and lands its rows as small files, which the pipeline's streaming query reads
+in order of arrival; all readers of a pipeline count arrivals together. A writer gets each micro-batch in order,
+row by row through an iterator. A peer that can't be reached is an error when the pipeline starts; an error later ends
+the reader, and the pipeline's next pop or push raises it.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import queue
 import socket
+import struct
 import threading
 import time
+import urllib.error
 import urllib.request
 
-from ..errors import InvalidOption
+from pyspark.sql import SparkSession
+
+from ..errors import ForeignIo, InvalidOption, PipelineError
 from ..plans.parser import Connector
+from .folders import write_text
+from .rows import SourceRow
 
 READERS, WRITERS = ("NET_CLIENT", "NET_SERVER", "CAN", "IN_MEMORY_QUEUE"), ("NET_CLIENT", "HTTP1_CLIENT", "IN_MEMORY_QUEUE")
 
@@ -28,9 +36,12 @@ def option(c: Connector, key: str, default: str | None = None) -> str:
 
 def port(c: Connector, key: str) -> int:
     try:
-        return int(option(c, key))
+        n = int(option(c, key))
     except ValueError as e:
         raise InvalidOption(f"{key} isn't a port") from e
+    if not 0 <= n < 65536:
+        raise InvalidOption(f"{key} isn't a port")
+    return n
 
 
 def check(c: Connector) -> None:
@@ -54,127 +65,177 @@ def check(c: Connector) -> None:
         option(c, "INTERFACE")
 
 
+def can_row(frame: bytes) -> SourceRow:
+    """A frame as it comes from the socket: can_id UNSIGNED INTEGER and can_data BLOB. Error frames are errors, extended and remote ones aren't supported."""
+    can_id, size = struct.unpack("=IB3x", frame[:8])
+    if can_id & 0x20000000:
+        raise ForeignIo(f"an error frame, CAN id {can_id & 0x1FFFFFFF}")
+    if can_id & 0xC0000000:
+        raise ForeignIo("extended and remote frames aren't supported")
+    return SourceRow({"can_id": can_id, "can_data": frame[8 : 8 + size]}, {"can_id": "UNSIGNED INTEGER", "can_data": "BLOB"})
+
+
 class Landing:
-    """A folder of numbered files of JSON lines: {"n": arrival number, "row": text}."""
+    """A folder of numbered files: arrival number and time (microseconds), stream, `json` or `typed`, and the row, one row a line."""
 
-    def __init__(self, folder: str):
-        self.folder, self.n, self.files, self.lock = folder, 0, 0, threading.Lock()
-        os.makedirs(folder, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.n, self.files, self.bytes, self.lock = spark, folder, 0, 0, {}, threading.Lock()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
-    def put(self, rows: list[str]) -> None:
+    def put(self, stream: str, rows: list[str | SourceRow]) -> None:
+        """JSON texts, or rows."""
         if not rows:
             return
         with self.lock:
-            aside = f"{self.folder}/.{self.files}.tmp"
-            with open(aside, "w") as f:
-                for r in rows:
-                    f.write(f"{self.n}\t{r.strip()}\n")
-                    self.n += 1
-            os.replace(aside, f"{self.folder}/{self.files:012d}.txt")
+            lines = []
+            for r in rows:
+                kind, text = ("json", r.strip().replace("\n", " ")) if isinstance(r, str) else ("json", r.json()) if r.as_json else ("typed", r.typed())
+                lines.append(f"{self.n}\t{time.time_ns() // 1000}\t{stream}\t{kind}\t{text}\n")
+                self.n += 1
+            text = "".join(lines)
+            write_text(self.spark, self.folder, f"{self.files:012d}.txt", text)
             self.files += 1
+            self.bytes[stream] = self.bytes.get(stream, 0) + len(text)
 
 
 class Reader(threading.Thread):
-    """Until stopped, takes rows from its source and lands them."""
+    """Until stopped, takes rows from its source and lands them. settings: of the section source_reader."""
 
-    def __init__(self, c: Connector, landing: Landing, queues: dict[str, queue.Queue], timeout: float):
+    def __init__(self, c: Connector, landing: Landing, queues: dict[str, queue.Queue], settings: dict):
         super().__init__(daemon=True)
-        self.c, self.landing, self.queues, self.timeout, self.ending = c, landing, queues, timeout, threading.Event()
-        self.server = None
-        if c.type == "NET_SERVER":
-            self.server = socket.create_server(("127.0.0.1", port(c, "PORT")))
-            self.server.settimeout(0.2)
+        self.c, self.landing, self.queues, self.ending = c, landing, queues, threading.Event()
+        self.error: Exception | None = None
+        self.pause = settings["can_read_timeout_msec" if c.type == "CAN" else "net_read_timeout_msec"] / 1000
+        try:
+            if c.type == "NET_SERVER":
+                self.socket = socket.create_server(("127.0.0.1", port(c, "PORT")))
+            elif c.type == "NET_CLIENT":
+                self.socket = socket.create_connection((option(c, "REMOTE_HOST"), port(c, "REMOTE_PORT")), timeout=settings["net_connect_timeout_msec"] / 1000)
+            elif c.type == "CAN":
+                self.socket = socket.socket(socket.AF_CAN, socket.SOCK_RAW, socket.CAN_RAW)
+                self.socket.bind((option(c, "INTERFACE"),))
+            else:
+                self.socket = None
+        except OSError as e:
+            raise ForeignIo(f"{c.name} can't open its {c.type} source: {e}") from e
+        if self.socket is not None:
+            self.socket.settimeout(self.pause)
 
     def run(self) -> None:
-        {"NET_CLIENT": self.client, "NET_SERVER": self.serve, "CAN": self.can, "IN_MEMORY_QUEUE": self.drain}[self.c.type]()
+        try:
+            {"NET_CLIENT": lambda: self.lines(self.socket), "NET_SERVER": self.serve, "CAN": self.can, "IN_MEMORY_QUEUE": self.drain}[self.c.type]()
+        except Exception as e:  # noqa: BLE001
+            if not self.ending.is_set():
+                self.error = e if isinstance(e, PipelineError) else ForeignIo(f"{self.c.name}: {e}")
+        finally:
+            if self.socket is not None:
+                self.socket.close()
 
     def drain(self) -> None:
         q = self.queues[option(self.c, "NAME")]
         while not self.ending.is_set():
             rows = []
             try:
-                rows.append(q.get(timeout=0.1))
+                rows.append(q.get(timeout=self.pause))
                 while len(rows) < 10_000:
                     rows.append(q.get_nowait())
             except queue.Empty:
                 pass
-            self.landing.put(rows)
+            self.landing.put(self.c.stream, rows)
 
     def lines(self, s: socket.socket) -> None:
-        s.settimeout(0.2)
+        s.settimeout(self.pause)
         left = b""
         while not self.ending.is_set():
             try:
                 got = s.recv(1 << 16)
-            except TimeoutError:
+            except TimeoutError:  # no row for now
                 continue
             if not got:
                 break
             *whole, left = (left + got).split(b"\n")
-            self.landing.put([x.decode("utf-8", "replace") for x in whole if x.strip()])
+            self.landing.put(self.c.stream, [x.decode("utf-8", "replace") for x in whole if x.strip()])
         if left.strip():
-            self.landing.put([left.decode("utf-8", "replace")])
-
-    def client(self) -> None:
-        with socket.create_connection((option(self.c, "REMOTE_HOST"), port(self.c, "REMOTE_PORT")), timeout=self.timeout) as s:
-            self.lines(s)
+            self.landing.put(self.c.stream, [left.decode("utf-8", "replace")])
 
     def serve(self) -> None:
         while not self.ending.is_set():
             try:
-                s, _ = self.server.accept()
+                s, _ = self.socket.accept()
             except TimeoutError:
                 continue
             with s:
                 self.lines(s)
-        self.server.close()
 
     def can(self) -> None:
-        import struct
-
-        with socket.socket(socket.AF_CAN, socket.SOCK_RAW, socket.CAN_RAW) as s:
-            s.bind((option(self.c, "INTERFACE"),))
-            s.settimeout(0.2)
-            while not self.ending.is_set():
-                try:
-                    frame = s.recv(16)
-                except TimeoutError:
-                    continue
-                can_id, size = struct.unpack("=IB3x", frame[:8])
-                if not can_id & 0xE0000000:  # neither extended, remote nor error frames
-                    import base64
-
-                    self.landing.put([f'{{"can_id": {can_id}, "can_data": "{base64.b64encode(frame[8 : 8 + size]).decode()}"}}'])
+        while not self.ending.is_set():
+            try:
+                frame = self.socket.recv(16)
+            except TimeoutError:
+                continue
+            self.landing.put(self.c.stream, [can_row(frame)])
 
 
 class Writer:
-    def __init__(self, c: Connector, queues: dict[str, queue.Queue], timeout: float):
-        self.c, self.queues, self.timeout, self.socket = c, queues, timeout, None
-
-    def send(self, rows, names: list[str]) -> None:
-        """rows: (names' values..., json text or None)."""
-        for *values, text in rows:
-            if self.c.type == "IN_MEMORY_QUEUE":
-                self.queues[option(self.c, "NAME")].put((names, values))
-            elif self.c.type == "NET_CLIENT":
-                if self.socket is None:
-                    self.socket = socket.create_connection((option(self.c, "REMOTE_HOST"), port(self.c, "REMOTE_PORT")), timeout=self.timeout)
-                self.socket.sendall(text.encode() + b"\n")
-            else:
-                body = values[names.index(option(self.c, "BLOB_BODY_COLUMN"))]
-                url = f"http://{option(self.c, 'REMOTE_HOST')}:{port(self.c, 'REMOTE_PORT')}{option(self.c, 'URL', '/')}"
-                headers = {k[7:].replace("_", "-"): v for k, v in self.c.options.items() if k.startswith("HEADER_")}
-                urllib.request.urlopen(urllib.request.Request(url, data=bytes(body), headers=headers, method="POST"), timeout=self.timeout).close()
+    """settings: of the section sink_writer."""
+
+    def __init__(self, c: Connector, queues: dict[str, queue.Queue], settings: dict):
+        self.c, self.queues, self.settings, self.socket, self.bytes, self.rows = c, queues, settings, None, 0, 0
+        if c.type == "NET_CLIENT":
+            try:
+                self.socket = socket.create_connection((option(c, "REMOTE_HOST"), port(c, "REMOTE_PORT")), timeout=settings["net_connect_timeout_msec"] / 1000)
+                self.socket.settimeout(settings["net_write_timeout_msec"] / 1000)
+            except OSError as e:
+                raise ForeignIo(f"{c.name} can't reach its peer: {e}") from e
+
+    def send(self, rows, names: list[str], types: list[str]) -> None:
+        """rows: values, or JSON texts for NET_CLIENT."""
+        for values in rows:
+            try:
+                self.rows += 1
+                if self.c.type == "IN_MEMORY_QUEUE":
+                    self.bytes += sum(len(str(v)) for v in values)
+                    self.queues[option(self.c, "NAME")].put((names, values, types))
+                elif self.c.type == "NET_CLIENT":
+                    data = values.encode() + b"\n"
+                    self.socket.sendall(data)
+                    self.bytes += len(data)
+                else:
+                    self.post(values[names.index(option(self.c, "BLOB_BODY_COLUMN"))])
+            except (OSError, urllib.error.URLError) as e:
+                raise ForeignIo(f"{self.c.name}: {e}") from e
+
+    def post(self, body) -> None:
+        if body is None:
+            raise ForeignIo(f"{self.c.name}: a body can't be NULL")
+        url = option(self.c, "URL", "/")
+        if not url.startswith("http://"):
+            url = f"http://{option(self.c, 'REMOTE_HOST')}:{port(self.c, 'REMOTE_PORT')}{url}"
+        headers = {k.removeprefix("HEADER_"): v for k, v in self.c.options.items() if k.startswith("HEADER_")}
+        urllib.request.urlopen(urllib.request.Request(url, data=bytes(body), headers=headers, method="POST"), timeout=self.settings["http_timeout_msec"] / 1000).close()
+        self.bytes += len(body)
 
     def close(self) -> None:
         if self.socket is not None:
             self.socket.close()
 
 
-def wait_for(condition, timeout: float) -> bool:
-    end = time.time() + timeout
-    while time.time() < end:
-        if condition():
-            return True
-        time.sleep(0.05)
-    return False
+class Reporter(threading.Thread):
+    """Posts the pipeline's metrics to a web console, again and again; a console that doesn't answer is asked again later. settings: of the section web_console."""
+
+    def __init__(self, metrics, settings: dict):
+        super().__init__(daemon=True)
+        self.metrics, self.settings, self.ending = metrics, settings, threading.Event()
+
+    def run(self) -> None:
+        url = f"http://{self.settings['host']}:{self.settings['port']}/task-graph"
+        while not self.ending.wait(self.settings["report_interval_msec"] / 1000):
+            try:
+                data = json.dumps(self.metrics()).encode()
+                urllib.request.urlopen(urllib.request.Request(url, data=data, headers={"Content-Type": "application/json"}, method="POST"), timeout=self.settings["timeout_msec"] / 1000).close()
+            except OSError:
+                time.sleep(0)
+
+
+__all__ = ["Landing", "Reader", "Reporter", "Writer", "can_row", "check"]

@@ -1,12 +1,20 @@
 import datetime as dt
+import json
+import random
+import socket
+import struct
+import time
 
 import pytest
 
-from rillflow.api import Config, Pipeline
-from rillflow.errors import InputTimeout, InvalidConfig, InvalidFormat, InvalidOption, NullValue, SqlError, Unavailable
-from rillflow.plans.parser import Bin, Col, Const, Neg, Window, parse
+from rillflow.api import Config, Duration, Pipeline, Timestamp
+from rillflow.errors import ForeignIo, InputTimeout, InvalidConfig, InvalidFormat, InvalidOption, NullValue, SqlError, TimeError, Unavailable
+from rillflow.functions.values import convert_value
+from rillflow.operators import windows
+from rillflow.plans.parser import Bin, Col, Const, Neg, parse
+from rillflow.sources.connectors import can_row
 from rillflow.sources.rows import SinkRow, SourceRow, SourceRowBuilder, parse_time
-from rillflow.streaming.machine import Machine, average, close_average, close_join
+from rillflow.streaming.live import Memory
 
 TRADE = "CREATE SOURCE STREAM trade (ts TIMESTAMP NOT NULL ROWTIME, ticker TEXT NOT NULL, amount INTEGER NOT NULL);"
 CITY = "CREATE SOURCE STREAM city (ts TIMESTAMP NOT NULL ROWTIME, city TEXT NOT NULL, temperature INTEGER NOT NULL);"
@@ -57,18 +65,6 @@ def test_left_join(spark):
     assert sorted((r.amount, r.temperature) for r in got) == [(100, 10), (200, None), (500, None)]
 
 
-def test_machine_keeps_the_rules():
-    m, out = Machine(Window(10 * S, 10 * S, S)), []
-    for t, k, a in LATE:
-        us = int(at(t).timestamp() * 1e6 + 0.5)
-        for _, rows in m.offer(us, ((k,), a)):
-            out += close_average(rows)
-    assert sorted(out) == [(("GOOGL",), 100.0), (("ORCL",), 100.0), (("ORCL",), 200.0)]
-    assert [average([1, 2]), average([-1, -2]), average([None])] == [2.0, -2.0, None]
-    assert close_join([(1, 0, "x", "r"), (0, 1, "x", "l"), (0, 2, None, "m")]) == [(1, "l", "r"), (2, "m", None)]
-    assert Machine(Window(5 * S, 10 * S, 0)).opens(7 * S) == [] and Machine(Window(10 * S, 5 * S, 0)).opens(5 * S) == [5 * S, 0]
-
-
 def test_live_queues(spark):
     p = Pipeline(spark)
     for c in (TRADE, "CREATE SINK STREAM s (k TEXT NOT NULL, a FLOAT NOT NULL);", "CREATE PUMP p AS INSERT INTO s (k, a) SELECT STREAM trade.ticker AS k, AVG(trade.amount) AS x FROM trade GROUP BY k FIXED WINDOW DURATION_SECS(10), DURATION_SECS(1);", "CREATE SINK WRITER w FOR s TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'out');", "CREATE SOURCE READER r FOR trade TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'in');"):
@@ -78,7 +74,7 @@ def test_live_queues(spark):
     p.start()
     try:
         got = sorted((r.get_not_null_by_index(0, str), r.get_not_null_by_index(1)) for r in (p.pop("out", 60) for _ in range(3)))
-        assert p.pop_non_blocking("out") is None and "queues" in p.metrics()
+        assert p.pop_non_blocking("out") is None and p.metrics()["queues"][0]["window-queue"]["num-rows-waiting"] == 1
     finally:
         p.stop()
     assert got == [("GOOGL", 100.0), ("ORCL", 100.0), ("ORCL", 200.0)]
@@ -126,3 +122,147 @@ def test_edges(spark):
     p.command("CREATE SINK WRITER w FOR s TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'q')")
     with pytest.raises(InputTimeout):
         p.pop("q", 0.1)
+
+
+def queues(spark, source, sink, pump, config=None):
+    p = Pipeline(spark, config)
+    for c in (f"CREATE SOURCE STREAM s ({source});", f"CREATE SINK STREAM o ({sink});", pump, "CREATE SINK WRITER w FOR o TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'out');", "CREATE SOURCE READER r FOR s TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'in');"):
+        p.command(c)
+    return p
+
+
+def test_typed_rows_keep_their_digits_and_misfits_are_left_out(spark):
+    kinds = "a INTEGER NOT NULL, b BIGINT, c UNSIGNED BIGINT, d BLOB, e BOOLEAN, f FLOAT, t TIMESTAMP"
+    p = queues(spark, kinds, kinds, "CREATE PUMP p AS INSERT INTO o (a, b, c, d, e, f, t) SELECT STREAM s.a, s.b, s.c, s.d, s.e, s.f, s.t FROM s;")
+    when = Timestamp.parse("2020-01-01 00:00:05.123456789")
+    good = {"a": 123456789, "b": -(1 << 63), "c": (1 << 64) - 1, "d": b"\x00\xff", "e": True, "f": 1.5, "t": when}
+    p.start()
+    try:
+        for change in ({"a": 1 << 31}, {"a": "text"}, {"a": None}, {"c": -1}, {"d": 5}, {"e": "true"}, {"t": "not a time"}):
+            p.push("in", SourceRow({**good, **change}))
+        p.push("in", SourceRow({**good, "b": None}))
+        p.push("in", SourceRow(good))
+        empty, row = p.pop("out", 60), p.pop("out", 60)
+    finally:
+        p.stop()
+    with pytest.raises(NullValue):
+        empty.get_not_null_by_index(1)
+    assert [row.get_not_null_by_index(i, k) for i, k in enumerate((int, "BIGINT", "UNSIGNED BIGINT", bytes, bool, float, str))] == [123456789, -(1 << 63), (1 << 64) - 1, b"\x00\xff", True, 1.5, "2020-01-01 00:00:05.123456000"]
+    assert row.get_not_null_by_index(6, dt.datetime) == dt.datetime(2020, 1, 1, 0, 0, 5, 123456)
+    again = SourceRow.from_sink(row)
+    assert again.types["c"] == "UNSIGNED BIGINT" and json.loads(again.typed())["c"]["v"] == str((1 << 64) - 1)
+    for i, kind in ((0, "SMALLINT"), (2, "BIGINT"), (3, str), (4, int), (9, int)):
+        with pytest.raises(SqlError):
+            row.get_not_null_by_index(i, kind)
+
+
+def test_values():
+    t = Timestamp.parse("2021-01-01T22:00:00.123456789+09:00")
+    assert str(t) == "2021-01-01 13:00:00.123456789" and t == Timestamp.parse(str(t)) and Timestamp.of(t.datetime()).ns == t.ns - 789
+    assert str(t.floor(Duration.secs(60))) == "2021-01-01 13:00:00.000000000" and str(t.ceil(Duration.millis(250))) == "2021-01-01 13:00:00.250000000"
+    for text in ("yesterday", "2021-13-01 00:00:00.000000000"):
+        with pytest.raises(TimeError):
+            Timestamp.parse(text)
+    with pytest.raises(TimeError):
+        Duration.secs(-1)
+    assert convert_value(3.2, "FLOAT", "INTEGER") == 4 and convert_value(1e30, "FLOAT", "SMALLINT") == 32767 and convert_value(16777217, "BIGINT", "FLOAT") == 16777216.0
+
+
+JOIN = "CREATE PUMP p AS INSERT INTO s (ts, amount, temperature) SELECT STREAM trade.ts, trade.amount, c.temperature FROM trade LEFT OUTER JOIN city AS c ON trade.ts = c.ts FIXED WINDOW DURATION_SECS(10), DURATION_SECS(1);"
+
+
+def test_live_join_knows_the_order_between_streams_and_keeps_microseconds(spark):
+    p = Pipeline(spark)
+    for c in (TRADE, CITY, "CREATE SINK STREAM s (ts TIMESTAMP NOT NULL ROWTIME, amount INTEGER NOT NULL, temperature INTEGER);", JOIN, "CREATE SINK WRITER w FOR s TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'out');", "CREATE SINK WRITER w2 FOR s TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'out2');",
+              "CREATE SOURCE READER r FOR trade TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'left');", "CREATE SOURCE READER r2 FOR city TYPE IN_MEMORY_QUEUE OPTIONS (NAME 'right');"):
+        p.command(c)
+    row = lambda t, n, v, k: SourceRowBuilder().add_column("ts", at(t)).add_column(n, "x").add_column(k, v).build()
+    p.start()
+    try:
+        for t, v in (("00:05.123456", 7), ("00:06.000000", 8)):
+            p.push("right", row(t, "city", v, "temperature"))
+        waits(lambda: p._landing.n == 2)
+        for t, v in (("00:05.123456", 1), ("00:09.000000", 2), ("00:30.000000", 3)):
+            p.push("left", row(t, "ticker", v, "amount"))
+        got = [[tuple(p.pop(q, 60).values) for _ in range(2)] for q in ("out", "out2")]
+    finally:
+        p.stop()
+    assert got[0] == got[1] == [(dt.datetime(2020, 1, 1, 0, 0, 5, 123456), 1, 7), (dt.datetime(2020, 1, 1, 0, 0, 9), 2, None)]
+
+
+def waits(condition):
+    end = time.time() + 60
+    while not condition():
+        assert time.time() < end
+        time.sleep(0.05)
+
+
+def test_open_panes_are_purged_beyond_the_limit(spark):
+    p = queues(spark, "ts TIMESTAMP NOT NULL ROWTIME, v INTEGER NOT NULL", "a FLOAT NOT NULL", "CREATE PUMP p AS INSERT INTO o (a) SELECT STREAM AVG(s.v) AS x FROM s FIXED WINDOW DURATION_SECS(10), DURATION_SECS(0);", Config.from_toml("[memory]\nupper_limit_bytes = 100"))
+    push = lambda t, v: p.push("in", SourceRowBuilder().add_column("ts", at(t)).add_column("v", v).build())
+    p.start()
+    try:
+        push("00:01.000000", 100)
+        waits(lambda: p._memory.state == "Critical" and not p._flow.states["p-average"].rows)
+        push("00:20.000000", 1)  # would have closed the pane
+        waits(lambda: p._flow.states["p-average"].top == 1577836820 * S)
+        assert p.pop_non_blocking("out") is None
+    finally:
+        p.stop()
+
+
+def test_memory_states():
+    m = Memory({"upper_limit_bytes": 100, "moderate_to_severe_percent": 60, "severe_to_critical_percent": 95, "critical_to_severe_percent": 80, "severe_to_moderate_percent": 40})
+    assert [m.see(x) for x in (59, 60, 94, 95, 81, 80, 41, 40)] == ["Moderate", "Severe", "Severe", "Critical", "Critical", "Severe", "Severe", "Moderate"]
+
+
+def test_peers_that_cannot_be_reached(spark):
+    with socket.create_server(("127.0.0.1", 0)) as s:
+        free = s.getsockname()[1]
+    for command in ("CREATE SOURCE READER r FOR s TYPE NET_CLIENT", "CREATE SINK WRITER w FOR o TYPE NET_CLIENT"):
+        p = Pipeline(spark)
+        p.command("CREATE SOURCE STREAM s (a TEXT)")
+        p.command("CREATE SINK STREAM o (a TEXT)")
+        p.command(f"{command} OPTIONS (REMOTE_HOST '127.0.0.1', REMOTE_PORT '{free}')")
+        with pytest.raises(ForeignIo):
+            p.start()
+        p.stop()
+    for frame in (0x20000001, 0x80000001, 0x40000001):
+        with pytest.raises(ForeignIo):
+            can_row(struct.pack("=IB3x8s", frame, 1, b"x"))
+
+
+def test_a_failing_reader_is_told(spark):
+    p = queues(spark, "a TEXT", "a TEXT", "CREATE PUMP p AS INSERT INTO o (a) SELECT STREAM s.a FROM s;")
+    p.start()
+    try:
+        p.inputs["in"].put(5)  # not a row
+        waits(lambda: p._readers[0].error is not None)
+        with pytest.raises(ForeignIo):
+            p.pop("out", 5)
+    finally:
+        p.stop()
+
+
+@pytest.mark.parametrize("keys", [lambda i: [0 if i % 100 else i, i], lambda i: [None if i % 3 == 0 else i // 40, i], lambda i: [i]])
+def test_lateness_with_uneven_arrival_keys(spark, monkeypatch, keys):
+    monkeypatch.setattr(windows, "RANGE_ROWS", 16)
+    r = random.Random(4)
+    rows = [(keys(i), r.randrange(1000)) for i in range(3000)]
+    df = spark.createDataFrame([(k, t) for k, t in rows], "__seq array<bigint>, __rt bigint").repartition(5)
+    top, want = None, []
+    for k, t in sorted(rows, key=lambda x: [(v is not None, v or 0) for v in x[0]]):
+        if top is None or t >= top - 300:
+            want.append((k, t))
+        top = t if top is None else max(top, t)
+    got, last = windows.on_time(df, 300)
+    assert last == top and sorted(map(str, ((x["__seq"], x["__rt"]) for x in got.collect()))) == sorted(map(str, want))
+    assert {x["__rt"] for x in windows.on_time(df, 300, 1200)[0].collect()} == {t for _, t in want if t >= 900}
+
+
+def test_settings():
+    c = Config.from_toml("[worker]\nsleep_msec_no_row = 10\n[web_console]\nhost = 'h'")
+    assert c.worker["sleep_msec_no_row"] == 10 and c.web_console["port"] == 8050 and not c.purges
+    for text in ("[memory]\nnothing = 1", "[memory]\nupper_limit_bytes = 'x'", "[worker", "[worker]\nsleep_msec_no_row = -1"):
+        with pytest.raises(InvalidConfig):
+            Config.from_toml(text)
