@@ -4,18 +4,22 @@ Jaccard distance (1 - similarity) and the symmetric difference of sets are metri
 their distance is at most t = 0.1.
 
 1. Documents with equal sets become one point, so copies cost nothing more.
-2. Points that can have a neighbour at all: a point's shingles are ordered (those that many points share go
-   last, then by hash); two neighbours must share at least l of their first n - ceil(0.9 n) + l. Points that
-   share nothing there have no neighbours and leave. A shingle's holders are a block.
-3. Small blocks are joined pair by pair (sizes within 0.9, l shingles in common, then exact verification).
-4. A large block's pivot is its first point, and points of large blocks with one pivot are its Voronoi region
-   (a point on the border of several is replicated to each, as step 2 requires). Exact distances to the pivot
-   cut the region into rings of width t: by the triangle inequality neighbours are in one ring or in adjoining
-   ones, so each ring is replicated to the next one only. The ball around the pivot is linked already and isn't
-   joined with itself. Rings are dealt in cells of bounded size, and cells are joined with exact counts.
+2. Nearly all points are at distance 1 from any pivot, where pivots tell nothing. So points first fall into groups that
+   can't have links between them: a point's shingles are ordered (those that many points share go last, then by hash);
+   two neighbours must share at least l of their first n - ceil(0.9 n) + l. Pairs that do, or that are among the many holders of
+   one such shingle, are in one group; a point in no group has no neighbour and leaves. No link is taken from this step.
+3. A group is a region. A region of more than REGION points is cut by pivots drawn from it: a point goes to the Voronoi region of its
+   nearest pivot, and is replicated to that of any other pivot which is farther by 2t at most; by the triangle inequality
+   a neighbour of a point in a region is in it or replicated to it. This is done again, by Spark over all large regions at
+   once, until regions are small; a task then joins each small region in the same way, recursively, down to LEAF points, which are
+   compared with each other.
+4. A region that its pivots don't cut is dense. The ball around its pivot is linked already and isn't joined with itself; the other
+   points lie in rings of width t around the pivot, and by the triangle inequality neighbours are in one ring or in adjoining
+   ones, so each ring is replicated to the next one only. Rings are dealt in cells of bounded size.
 5. Links make components.
 
-Sets of the points that are left lie as sorted arrays in the shared folder; no text is ever shuffled.
+Sets of the points that are left lie as sorted arrays in the shared folder; no text is ever shuffled. Every link is verified by the
+sizes of the sets and of their intersection.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; a null
 doc_id takes part but is never a component's id, unless all of its ids are null; rows may repeat; other columns
@@ -29,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, map_batches, map_groups, n_buckets, table
+from ._spark import components, free_shuffles, map_batches, map_groups, n_buckets, table
 from ._store import bucket_of, write_sorted
 from ._text import NOT_SPACE, U64, combine, mix, pieces, signed, words
 
 #: Shingles in common that candidates must have among their first ones.
 COMMON = 3
-#: Blocks up to this size are joined pair by pair; cells of a ring have about so many points.
-SMALL_BLOCK, CELL = 128, 400
+#: Holders of a shingle of which all pairs are counted; more of them are in one group without counting.
+COUNTED = 128
+#: Points of a region that one task joins; pivots that cut a region; points that are compared with each other; points of a cell of a ring.
+REGION, PIVOTS, LEAF, CELL = 1024, 8, 24, 400
+#: Regions are worth cutting if the squares of their sizes then sum to so much of what they were at most; so each cut makes less to compare.
+CUTS = 0.8
 #: A shingle goes last if so many points have it, or this part of all points; the second bounds their number.
 FREQUENT, FREQUENT_PART = 32, 1e-4
 
@@ -149,6 +157,63 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> n
     return out
 
 
+def distances(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of sets of these sizes with so much in common."""
+    return 1 - common / np.maximum(a + b - common, 1)
+
+
+def join_region(sets: list[np.ndarray], own: np.ndarray, limit: "Threshold") -> list[tuple[int, int, float]]:
+    """Links (i, j, distance) in a region, those between two replicas (not own) left out; of a ball that its pivot holds together, only those to the pivot."""
+    size, t, out = np.array([len(x) for x in sets]), 1 - limit.num / limit.den, []
+
+    def compare(x: np.ndarray, y: np.ndarray, ok: np.ndarray) -> None:
+        """Pairs of x and y where ok."""
+        common = overlaps([sets[i] for i in x], [sets[i] for i in y]).astype(np.int64)
+        hit = ok & limit.links(common, size[x][:, None], size[y][None, :])
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            out.append((int(x[i]), int(y[j]), float(distances(common[i, j], size[x[i]], size[y[j]]))))
+
+    todo = [(np.arange(len(sets)), own)]
+    while todo:
+        at, mine = todo.pop()
+        n = len(at)
+        if n < 2 or not mine.any():
+            continue
+        if n <= LEAF:
+            compare(at, at, np.triu(np.ones((n, n), dtype=bool), 1) & (mine[:, None] | mine[None, :]))
+            continue
+        # pivots as far from each other as the region allows
+        pivots, d = [0], np.empty((PIVOTS, n))
+        for k in range(PIVOTS):
+            p = at[pivots[k]]
+            common = overlaps([sets[p]], [sets[i] for i in at])[0].astype(np.int64)
+            d[k] = distances(common, size[p], size[at])
+            hit = limit.links(common, size[p], size[at]) & (at != p)
+            out += [(int(p), int(i), float(x)) for i, x in zip(at[hit], d[k][hit], strict=True)]
+            far = int(d[: k + 1].min(axis=0).argmax())
+            if k + 1 == PIVOTS or d[: k + 1, far].min() <= t:
+                break
+            pivots.append(far)
+        d = d[: len(pivots)]
+        nearest, least = d.argmin(axis=0), d.min(axis=0)
+        inside = [d[k] - least <= 2 * t + 1e-9 for k in range(len(pivots))]
+        if sum(int(x.sum()) ** 2 for x in inside) <= CUTS * n * n:
+            todo += [(at[x], (mine & (nearest == k))[x]) for k, x in enumerate(inside)]
+            continue
+        # dense: what a pivot's ball holds is linked with the pivot; the others are compared with all
+        k = int((d <= t + 1e-9).sum(axis=1).argmax())
+        rest = np.flatnonzero(~limit.links(np.rint((1 - d[k]) * (size[at[pivots[k]]] + size[at]) / (2 - d[k])).astype(np.int64), size[at[pivots[k]]], size[at]))
+        place = np.full(n, n)
+        place[rest] = np.arange(len(rest))
+        for lo in range(0, len(rest), CELL):
+            x = rest[lo : lo + CELL]
+            for hi in range(0, n, CELL):
+                y = np.arange(hi, min(hi + CELL, n))
+                near = np.abs(d[k][x][:, None] - d[k][y][None, :]) <= t + 1e-9
+                compare(at[x], at[y], near & (mine[x][:, None] | mine[y][None, :]) & (place[x][:, None] < place[y][None, :]))
+    return out
+
+
 def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = None, text: str = "text", doc_id: str = "doc_id", spanning: bool = True):
     """(points: doc_id, node, n_shingles of each row; links: a, b nodes and d, their distance).
 
@@ -236,7 +301,7 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
         cut = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0) if len(key) else np.empty(0, np.int64)
         n = np.diff(np.append(cut, len(key)))
         of = np.repeat(np.arange(len(cut)), n)
-        small = (n <= SMALL_BLOCK)[of] & (n > 1)[of]
+        small = (n <= COUNTED)[of] & (n > 1)[of]
         a, b = [], []
         idx = np.flatnonzero(small)
         d = 1
@@ -250,23 +315,23 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         pair = np.stack((node[a], node[b], size[a].astype(np.uint64), size[b].astype(np.uint64)), axis=1)
         pair, times = np.unique(pair, axis=0, return_counts=True) if len(pair) else (pair, np.empty(0, np.int64))
-        large = np.flatnonzero((n > SMALL_BLOCK)[of])
-        region = np.unique(np.stack((node[cut[of[large]]], node[large], size[large].astype(np.uint64)), axis=1), axis=0) if len(large) else np.empty((0, 3), np.uint64)
-        p, q = len(pair), len(region)
+        # many holders of a shingle: each with the first one, as if they had enough in common
+        large = np.flatnonzero((n > COUNTED)[of])
+        star = np.stack((node[cut[of[large]]], node[large], size[cut[of[large]]].astype(np.uint64), size[large].astype(np.uint64)), axis=1)
+        star = np.unique(star[star[:, 0] != star[:, 1]], axis=0)
+        both = np.concatenate((pair, star)) if len(pair) else star
         return pa.table({
-            "a": np.concatenate((signed(np.ascontiguousarray(pair[:, 0])), signed(np.ascontiguousarray(region[:, 0])))),
-            "b": np.concatenate((signed(np.ascontiguousarray(pair[:, 1])), signed(np.ascontiguousarray(region[:, 1])))),
-            "na": np.concatenate((pair[:, 2].astype(np.int64), np.zeros(q, np.int64))),
-            "nb": np.concatenate((pair[:, 3].astype(np.int64), region[:, 2].astype(np.int64))),
-            "times": np.concatenate((times.astype(np.int64), np.zeros(q, np.int64))),
+            **{k: signed(np.ascontiguousarray(both[:, i])) for i, k in enumerate(("a", "b", "na", "nb"))},
+            "times": np.concatenate((times.astype(np.int64), np.full(len(star), COMMON, np.int64))),
         })
 
     blocks = table(map_groups(map_batches(docs, prefixes, "_b int, blob binary"), "_b", block, "a long, b long, na long, nb long, times long"), "blocks")
     low = F.least(F.lit(COMMON), F.ceil(F.least("na", "nb") * limit.num / limit.den))
-    pairs = blocks.filter("times > 0").groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("times") >= low).select("a", "b")
-    pairs = table(pairs, "pairs")
-    regions = table(blocks.filter("times = 0").select("a", "b").distinct(), "regions")
-    wanted = write_sorted(pairs.select("a").union(pairs.select("b")).union(regions.select("a")).union(regions.select("b")).distinct(), "points")
+    pairs = blocks.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("times").alias("times"), F.min(F.least("na", "nb")).alias("na"), F.max(F.greatest("na", "nb")).alias("nb")).filter(F.col("times") >= low).select("a", "b")
+    group = components(pairs)
+    regions = table(group.select("node", F.col("component").alias("region")).union(group.select(F.col("component").alias("node"), F.col("component").alias("region")).distinct()).distinct(), "groups")
+    wanted = write_sorted(regions.select("node").distinct(), "points")
+    free_shuffles(spark)
 
     def fetch(batches):
         for batch in batches:
@@ -282,23 +347,86 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
     def of(node) -> np.ndarray:
         return np.frombuffer(store.blobs(np.uint64(int(node) & ((1 << 64) - 1)), "shingles"), dtype=np.uint64)
 
-    def verify(batches):
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            out = []
-            held, mine = None, None
-            for x, y in zip(a, b, strict=True):
-                if x != held:
-                    held, mine = x, of(x)
-                other = of(y)
-                out.append((len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other)))
-            c, n, m = np.array(out, dtype=np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - c / np.maximum(n + m - c, 1)), pa.array(limit.links(c, n, m))], names=["a", "b", "d", "ok"])
-
-    checked = "a long, b long, d double, ok boolean"
-    direct = pairs.repartition(n_b).mapInArrow(verify, checked).filter("ok").select("a", "b", "d")
     t = 1 - limit.num / limit.den
-    spread = table(regions.repartition(n_b).mapInArrow(verify, checked).withColumn("ring", F.when(F.col("ok"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.col("d") / t - 1e-9) - 1)).cast("int")), "spread")
+    links: list[DataFrame] = []
+    dense: list[DataFrame] = []
+    regions = regions.withColumn("own", F.lit(True))
+    small = []
+    while True:
+        sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region")
+        small.append(sized.filter(F.col("n") <= REGION).select("region", "node", "own"))
+        large = table(sized.filter(F.col("n") > REGION), "large")
+        if large.isEmpty():
+            break
+        drawn = [F.min(F.when(F.col("own"), F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("p")))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = large.groupBy("region").agg(*drawn).select("region", F.array_sort(F.array_distinct(F.array(*[F.col(f"p{i}.p") for i in range(PIVOTS)]))).alias("p"))
+        pivots = write_sorted(pivots.select("region", F.unhex(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x), 16, "0")), "")).alias("p")), "pivots")
+
+        def assign(batches, pivots=pivots):
+            held: dict = {}
+            for batch in batches:
+                region, node, mine, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "node", "own", "n"))
+                rows = {k: [] for k in ("region", "node", "own", "d", "a", "n", "of")}
+                for r in np.unique(region):
+                    at = np.flatnonzero(region == r)
+                    if r not in held:
+                        if len(held) > 64:
+                            held.clear()
+                        names = np.frombuffer(pivots.blobs(np.uint64(int(r) & ((1 << 64) - 1)), "p"), dtype=">i8").astype(np.int64)
+                        held[r] = names, [of(x) for x in names]
+                    names, own_sets = held[r]
+                    for lo in range(0, len(at), 512):
+                        x = at[lo : lo + 512]
+                        sets = [of(v) for v in node[x]]
+                        common = overlaps(own_sets, sets).astype(np.int64)
+                        size, sizes = np.array([len(v) for v in own_sets])[:, None], np.array([len(v) for v in sets])[None, :]
+                        d = distances(common, size, sizes)
+                        nearest, least = d.argmin(axis=0), d.min(axis=0)
+                        for k, p in enumerate(names.tolist()):
+                            to = np.flatnonzero(d[k] - least <= 2 * t + 1e-9)
+                            new = signed(combine([np.array([r], np.int64).view(np.uint64), np.array([p], np.int64).view(np.uint64)], seed=5))[0]
+                            for key, v in (("region", np.full(len(to), new)), ("node", node[x][to]), ("own", (mine[x] & (nearest == k))[to]), ("d", d[k][to]), ("a", np.full(len(to), p)), ("n", count[x][to]), ("of", np.full(len(to), r))):
+                                rows[key].append(v)
+                            hit = np.flatnonzero(limit.links(common[k], size[k], sizes[0]) & (node[x] != p))
+                            for key, v in (("region", np.zeros(len(hit), np.int64)), ("node", node[x][hit]), ("own", np.zeros(len(hit), bool)), ("d", d[k][hit]), ("a", np.full(len(hit), p)), ("n", np.zeros(len(hit), np.int64)), ("of", np.full(len(hit), r))):
+                                rows[key].append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], names=list(rows))
+
+        made = table(map_batches(large.repartition(n_b, "region", F.pmod(F.xxhash64("node"), F.lit(n_b))), assign, "region long, node long, own boolean, d double, a long, n long, of long"), "regions")
+        links.append(made.filter("n = 0").select("a", F.col("node").alias("b"), "d"))
+        parts = made.filter("n > 0")
+        sizes = table(parts.groupBy("of", "region").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")), "sizes")
+        worth = sizes.groupBy("of").agg((F.sum(F.col("m").cast("double") * F.col("m")) <= CUTS * F.max(F.col("n").cast("double") * F.col("n"))).alias("worth"))
+        kept = sizes.join(worth, "of").select("region", (~F.col("worth") & (F.col("m") > REGION)).alias("stuck"))
+        parts = table(parts.join(kept, "region"), "cut")
+        dense.append(parts.filter("stuck").select(F.col("region").alias("a"), F.col("node").alias("b"), "d", (F.col("d") <= t + 1e-9).alias("ok")))
+        regions = parts.filter("not stuck").select("region", "node", "own")
+
+    def join(group: pa.Table) -> pa.Table:
+        region, node, mine = (group.column(c).to_numpy() for c in ("region", "node", "own"))
+        order = np.argsort(region, kind="stable")
+        region, node, mine = region[order], node[order], mine[order]
+        a, b, d = [], [], []
+        for lo, hi in zip(*(lambda c: (c, np.append(c[1:], len(region))))(np.flatnonzero(np.diff(region, prepend=~region[:1]))), strict=True):
+            found = join_region([of(x) for x in node[lo:hi]], mine[lo:hi], limit)
+            if found:
+                i, j, x = (np.array(v) for v in zip(*found, strict=True))
+                i, j = node[lo:hi][i], node[lo:hi][j]
+                keep = forest(i, j) if spanning else np.ones(len(i), bool)
+                a.append(i[keep]), b.append(j[keep]), d.append(x[keep])
+        empty = [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(dict(zip("abd", (np.concatenate(x) if x else e for x, e in zip((a, b, d), empty, strict=True)), strict=True)))
+
+    few = small[0]
+    for x in small[1:]:
+        few = few.union(x)
+    met = map_groups(few.withColumn("_b", F.pmod(F.xxhash64("region"), F.lit(8 * n_b))), "_b", join, "a long, b long, d double")
+    if not dense:
+        return points, table(met, "links")
+    spread = dense[0]
+    for x in dense[1:]:
+        spread = spread.union(x)
+    spread = table(spread.select("a", "b", "d", F.when(F.col("ok"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.col("d") / t - 1e-9) - 1)).cast("int").alias("ring")), "spread")
     # cells: a ring's points are dealt by hash, and two cells meet in one task if their rings are one or adjoin
     dealt = spread.join(spread.groupBy("a", "ring").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("m")), ["a", "ring"]).withColumn("c", F.pmod(F.xxhash64("b"), F.col("m")).cast("int"))
     rings = dealt.select("a", "ring", "m").distinct()
@@ -330,9 +458,10 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
             out_a, out_b, out_d = left[x], right[y], 1 - common[x, y] / (na[x] + nb[y] - common[x, y])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "d": pa.array(out_d, pa.float64())})
 
-    met = tasks.groupBy("a", "r", "i", "s", "j").applyInArrow(cells, "a long, b long, d double")
-    links = direct.union(spread.filter("ok and a != b").select("a", "b", "d")).union(met)
-    return points, table(links, "links")
+    met = met.union(tasks.groupBy("a", "r", "i", "s", "j").applyInArrow(cells, "a long, b long, d double"))
+    for x in links:
+        met = met.union(x)
+    return points, table(met, "links")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, limit: Threshold | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

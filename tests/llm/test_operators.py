@@ -87,27 +87,54 @@ def test_matching_statistics():
             assert n == best and (n == 0 or b > a)
 
 
-@pytest.mark.parametrize("small,cell", [(128, 400), (2, 3)])
-def test_jaccard_join(docs, none, monkeypatch, small, cell):
-    monkeypatch.setattr(jaccard_join, "SMALL_BLOCK", small)
-    monkeypatch.setattr(jaccard_join, "CELL", cell)
+@pytest.mark.parametrize("sizes", [{}, {"COUNTED": 2, "REGION": 3, "LEAF": 2, "PIVOTS": 2, "CELL": 3}, {"REGION": 4, "CUTS": 0.0}])
+def test_jaccard_join(docs, none, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(jaccard_join, k, v)
     same(jaccard_join.jaccard_components(docs), ["doc_id", "n_shingles", "component_id"], brute.jaccard(rows()))
-    if small > 2:
+    if not sizes:
         assert jaccard_join.jaccard_components(none).count() == 0
 
 
-def test_jaccard_join_of_a_dense_group(spark):
-    r = random.Random(1)
-    base = [f"w{i}" for i in range(120)]
-    made = []
-    for i in range(150):
-        w = list(base)
-        for _ in range(r.randrange(0, 9)):
+def dense(seed, n, kinds=1, most=9):
+    r, made = random.Random(seed), []
+    for i in range(n):
+        w = [f"w{i % kinds}x{j}" for j in range(120)]
+        for _ in range(r.randrange(0, most)):
             w[r.randrange(120)] = f"v{r.randrange(1000)}"
         made.append((i, " ".join(w)))
+    return made
+
+
+@pytest.mark.parametrize("sizes", [{}, {"REGION": 20, "LEAF": 4, "PIVOTS": 3, "CELL": 16}, {"REGION": 20, "CUTS": 0.2, "CELL": 16}])
+def test_jaccard_join_of_dense_groups(spark, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(jaccard_join, k, v)
+    made = dense(1, 150, 3)
     same(jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")), ["doc_id", "n_shingles", "component_id"], brute.jaccard(made))
 
 
+@pytest.mark.parametrize("leaf,pivots,cuts,cell", [(24, 8, 0.8, 400), (2, 3, 0.95, 7), (2, 2, 0.0, 5), (4, 5, 0.9, 400)])
+def test_a_region_joins_what_all_pairs_do(monkeypatch, leaf, pivots, cuts, cell):
+    for k, v in (("LEAF", leaf), ("PIVOTS", pivots), ("CUTS", cuts), ("CELL", cell)):
+        monkeypatch.setattr(jaccard_join, k, v)
+    r, limit = random.Random(leaf), jaccard_join.Threshold(80, 100)
+    sets = [np.unique(np.array([(w if r.random() > 0.06 else r.randrange(1 << 20)) + 100_000 * (i % 4) for w in range(40)], np.uint64)) for i in range(90)]
+    mine = np.array([r.random() < 0.7 for _ in sets])
+    found = jaccard_join.join_region(sets, mine, limit)
+    assert all(limit.links(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])) for i, j, _ in found)
+
+    def parts(pairs):
+        root = list(range(len(sets)))
+        for i, j in pairs:
+            a, b = (next(k for k in range(len(sets)) if k == root[x]) if root[x] == x else root[x] for x in (i, j))
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if limit.links(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    assert parts([(i, j) for i, j, _ in found if mine[i] or mine[j]] + [x for x in every if not (mine[x[0]] or mine[x[1]])]) == parts(every)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
