@@ -42,7 +42,7 @@ COMMON = 3
 #: Holders of a shingle of which all pairs are counted; more of them are in one group without counting.
 COUNTED = 128
 #: Points of a region that one task joins; pivots that cut a region; points that are compared with each other; points of a cell of a ring.
-REGION, PIVOTS, LEAF, CELL = 1024, 8, 24, 400
+REGION, PIVOTS, LEAF, CELL = 400, 8, 24, 400
 #: Regions are worth cutting if the squares of their sizes then sum to so much of what they were at most; so each cut makes less to compare.
 CUTS = 0.8
 #: A shingle goes last if so many points have it, or this part of all points; the second bounds their number.
