@@ -145,7 +145,7 @@ class FMIndex:
         at = np.concatenate(([0], np.cumsum(size)))
         flat = np.concatenate(queries).astype(np.int64) if q else np.empty(0, np.int64)
         lo, hi, length = np.zeros(q, np.int64), np.full(q, self.n, np.int64), np.zeros(q, np.int64)
-        top = self.borders(threshold - 1) if threshold > 1 else None
+        borders: dict[int, np.ndarray] = {}
 
         def shrink(rows: np.ndarray) -> None:
             length[rows] -= 1
@@ -154,7 +154,9 @@ class FMIndex:
                 if not d:
                     lo[own], hi[own] = 0, self.n
                     continue
-                cuts = top if d == threshold - 1 else self.borders(d)
+                cuts = borders.get(d)
+                if cuts is None:
+                    cuts = borders[d] = self.borders(d)
                 i = np.searchsorted(cuts, lo[own], side="right")
                 lo[own], hi[own] = cuts[i - 1], cuts[i]
 
