@@ -29,7 +29,7 @@ from ._train import Adam, calibrate, labelled, sigmoid, sums, unique_words
 
 MOST_ROWS, DIM, HIDDEN, INDEX_ROWS, NONZERO, BESIDE = 3000, 40, 24, 4096, 6, 2
 #: Words that a task gathers before it hands them on.
-HELD = 600_000
+HELD = 3_000_000
 
 
 def _index_vectors() -> np.ndarray:
@@ -98,15 +98,23 @@ def add_rows(total: np.ndarray, row: np.ndarray, values, step: int = 1 << 15) ->
 
 
 def _blob(names: np.ndarray, body: np.ndarray) -> bytes:
-    """names and the rows of body, which are packed by columns: most sums are small."""
-    data = names.tobytes() + np.ascontiguousarray(body.T).tobytes()
+    """names and the rows of body, whose numbers are packed by columns and bytes, small ones of either sign first: most sums are small."""
+    if body.dtype == np.int32:
+        body = ((body << 1) ^ (body >> 31)).view(np.uint32)
+    data = names.tobytes() + np.ascontiguousarray(np.ascontiguousarray(body.T).view(np.uint8).reshape(-1, body.dtype.itemsize).T).tobytes()
     return np.array([len(names)], "<u4").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unblob(blob: bytes, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
     n, item = int(np.frombuffer(blob, "<u4", 1)[0]), np.dtype(kind).itemsize
     data = pa.decompress(blob[4:], n * (8 + width * item), codec="zstd", asbytes=True)
-    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, kind, n * width, 8 * n).reshape(width, n).T
+    body = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width * item, 8 * n).reshape(item, -1).T)
+    if kind is np.int32:
+        body = body.view(np.uint32)[:, 0] if n else np.empty(0, np.uint32)
+        body = (body >> 1).astype(np.int32) ^ -(body & 1).astype(np.int32)
+    else:
+        body = body.view(kind)[:, 0] if n else np.empty(0, kind)
+    return np.frombuffer(data, np.uint64, n), body.reshape(width, n).T
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> Sorted:
