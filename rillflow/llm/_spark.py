@@ -96,6 +96,14 @@ def table(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of such a table, which nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for f in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_buckets(spark: SparkSession, times: int = 1) -> int:
     """Buckets follow spark.sql.shuffle.partitions, which is set by the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times

@@ -4,15 +4,20 @@ Tokens are lower-cased (A-Z) words and one end per text; a text is padded in fro
 task counts its n-grams with sorts and deals them, packed as numbers of its words, by the hash of their context, so a
 bucket has all continuations of its contexts: it writes two sorted arrays to the shared folder (n-gram hash with its count,
 context hash with total and numbers of continuations seen once, twice and more) and hands on its distinct
-n-grams, from which the next lower order counts continuations. The discounts come from the counts of counts,
-of which there are four an order. Workers map the arrays into memory and look sorted hashes up in them; what a
-machine holds doesn't grow with the corpus.
+n-grams, from which the next lower order counts continuations. An order is counted in ROUNDS passes, each over its share of
+the buckets, so that the shuffle on disk is that part of the whole; what a pass has shuffled goes before the next. The
+discounts come from the counts of counts, of which there are four an order. Workers map the arrays into memory and look sorted
+hashes up in them; what a machine holds doesn't grow with the corpus.
+
+In an array a hash is kept as 40 bits behind the few first ones, which a directory has, and values as one byte: the
+number of one of the 255 commonest, or a mark for one in a list of the others.
 
 P(w | c) = (max(n(cw) - D, 0) + (D1 N1 + D2 N2 + D3 N3)(c) P(w | c')) / n(c), and below one word the uniform
 1 / (V + 1), so an unknown token has a share.
 
 Defined results: null text is empty and has one token, its end; texts to learn from may repeat; with nothing
-to learn from every probability is the uniform one.
+to learn from every probability is the uniform one; an n-gram that wasn't seen is taken for a seen one with a
+probability of about 2**-36 (16 hashes of a directory's cell, 40 bits); other columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -22,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Carried, array_folder, free_shuffles, map_batches, map_groups, n_buckets, save_array, table
+from ._spark import Carried, array_folder, drop_table, free_shuffles, map_batches, map_groups, n_buckets, save_array, table
 from ._store import Open, bucket_of
 from ._text import NOT_SPACE, U64, combine, mix, pieces, words
 
 END, BEGIN = U64(0xE4D0E4D0E4D0E4D1), U64(0xBE61BE61BE61BE61)
 #: N-grams that a task counts at once.
 HELD = 3_000_000
+#: Passes over the texts, or over the order above, in which an order is counted.
+ROUNDS = 2
 #: N-grams of one row that is handed on.
 MOST_PACKED = 1 << 18
 _STATS = "k int, at int, n1 long, n2 long, n3 long, n4 long, grams long, total long"
@@ -90,8 +97,8 @@ def unpack_grams(blobs: list[bytes], k: int) -> tuple[list[np.ndarray], np.ndarr
     return cols, c.astype(np.int64)
 
 
-def deal(h: np.ndarray, at: np.ndarray, k: int, n: int, times: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (bucket, blob): the distinct k-grams that end at these places of h, with their numbers, dealt by context."""
+def deal(h: np.ndarray, at: np.ndarray, k: int, n: int, times: np.ndarray | None = None, which: int | None = None) -> pa.RecordBatch:
+    """Rows (bucket, blob): the distinct k-grams that end at these places of h, with their numbers, dealt by context; with which, only of the buckets of that round."""
     words, back, often = np.unique(h, return_inverse=True, return_counts=True)
     by = np.argsort(-often)  # frequent words have small numbers
     words, rank = words[by], np.empty(len(by), np.uint32)
@@ -129,6 +136,8 @@ def deal(h: np.ndarray, at: np.ndarray, k: int, n: int, times: np.ndarray | None
     cuts = np.searchsorted(bucket[order], np.arange(n + 1))
     b, blobs = [], []
     for i in np.flatnonzero(np.diff(cuts)).tolist():
+        if which is not None and i % ROUNDS != which:
+            continue
         for lo in range(int(cuts[i]), int(cuts[i + 1]), MOST_PACKED):
             rows = order[lo : min(lo + MOST_PACKED, int(cuts[i + 1]))]
             b.append(i)
@@ -141,6 +150,61 @@ def context(cols: list[np.ndarray]) -> np.ndarray:
     return combine(cols[:-1], seed=21) if len(cols) > 1 else mix(cols[0])
 
 
+_KINDS = ("<u4", "<u4", "u1", "u1", "<i8", "<u4", "<i8")
+
+
+def save_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
+    """Sorted distinct hashes with one or more values each, in one file: directory, low and high bits of the hashes, codes, common values, places and values of the others."""
+    n, w = len(keys), len(values)
+    d = max(0, n.bit_length() - 5)
+    first = np.searchsorted(keys >> U64(64 - d), np.arange((1 << d) + 1, dtype=np.uint64)) if d else np.array([0, n])
+    rest = keys >> U64(24 - d) & U64((1 << 40) - 1)
+    one = combine([v.astype(np.uint64) for v in values]) if w > 1 else values[0].astype(np.uint64)
+    _, at, back, often = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+    by = np.argsort(-often, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    code = np.minimum(rank[back], 255).astype(np.uint8)
+    other = np.flatnonzero(code == 255)
+    rows = np.stack(values, axis=1).astype(np.int64)
+    parts = [first, rest & U64(0xFFFFFFFF), rest >> U64(32), code, rows[at[by[:255]]].ravel(), other, rows[other].ravel()]
+    parts = [np.ascontiguousarray(x.astype(k)) for x, k in zip(parts, _KINDS, strict=True)]
+    size = [-(-x.nbytes // 8) * 8 for x in parts]
+    head = np.array([w, d, *(x for p, o in zip(parts, np.cumsum([0, *size[:-1]]), strict=True) for x in (int(o), len(p)))], dtype=np.int64)
+    save_array(path, np.frombuffer(head.tobytes() + b"".join(x.tobytes() + bytes(s - x.nbytes) for x, s in zip(parts, size, strict=True)), dtype=np.uint8))
+
+
+def lookup(data: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The values of each hash in such a file, a column each; 0 where it isn't there."""
+    head = np.frombuffer(data[: 8 * (2 + 2 * len(_KINDS))].tobytes(), dtype=np.int64)
+    w, d, at = int(head[0]), int(head[1]), len(head) * 8
+    first, low, high, code, common, other, rare = (data[at + o : at + o + n * np.dtype(k).itemsize].view(k) for k, o, n in zip(_KINDS, head[2::2].tolist(), head[3::2].tolist(), strict=True))
+    out = np.zeros((len(keys), w), dtype=np.int64)
+    if not len(low) or not len(keys):
+        return out
+    cell = (keys >> U64(64 - d)).astype(np.int64) if d else np.zeros(len(keys), np.int64)
+    want = (keys >> U64(24 - d) & U64((1 << 40) - 1)).astype(np.int64)
+    lo, hi = first[cell].astype(np.int64), first[cell + 1].astype(np.int64)
+    end = hi.copy()
+
+    def value(i: np.ndarray) -> np.ndarray:
+        return low[i].astype(np.int64) | high[i].astype(np.int64) << 32
+
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = value(mid) < want[open_]
+        lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+    hit = np.flatnonzero(lo < end)
+    hit = hit[value(lo[hit]) == want[hit]]
+    place = lo[hit]
+    c = code[place]
+    usual = c < 255
+    out[hit[usual]] = common.reshape(-1, w)[c[usual]]
+    if not usual.all():
+        out[hit[~usual]] = rare.reshape(-1, w)[np.searchsorted(other, place[~usual])]
+    return out
+
+
 class Model:
     def __init__(self, folder: str, n: int, order: int, stats: dict[int, tuple], vocabulary: int, total: int, written: dict[int, frozenset]):
         """written: for each order (0: the tokens) the buckets that have files."""
@@ -154,30 +218,25 @@ class Model:
                 self.once = tuple(stats.get(1, (0,) * 6)[:2])
                 self.kinds = stats.get(1, (0,) * 6)[4]
 
-    def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of the fields for each key, 0 where there is none."""
-        out = [np.zeros(len(keys), dtype=np.int64) for _ in fields]
-        order = np.lexsort((keys, bucket))
+    def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, width: int = 1) -> list[np.ndarray]:
+        """The values of each key, 0 where it isn't there."""
+        out = np.zeros((len(keys), width), dtype=np.int64)
+        order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(self.n + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            if b not in self.written.get(0 if kind == "raw" else int(kind[1:]), ()):
-                continue
-            own = self.open.get(f"{self.folder}/{kind}.{b}.key.npy")
-            rows = order[cuts[b] : cuts[b + 1]]
-            at = np.minimum(np.searchsorted(own, keys[rows]), len(own) - 1)
-            hit = own[at] == keys[rows]
-            for f, o in zip(fields, out, strict=True):
-                o[rows[hit]] = self.open.get(f"{self.folder}/{kind}.{b}.{f}.npy")[at[hit]]
-        return out
+            if b in self.written.get(0 if kind == "raw" else int(kind[1:]), ()):
+                rows = order[cuts[b] : cuts[b + 1]]
+                out[rows] = lookup(self.open.get(f"{self.folder}/{kind}.{b}.npy"), keys[rows])
+        return list(out.T)
 
     def probabilities(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(model's probability, training count) of the tokens at these positions."""
         word, back = np.unique(h[at], return_inverse=True)
         own = bucket_of(mix(word), self.n)
-        raw = self.find("raw", own, word, ("n",))[0]
+        (raw,) = self.find("raw", own, word)
         uniform = 1 / (self.vocabulary + 1)
         if self.unigrams:
-            (c,) = self.find("g1", own, word, ("n",))
+            (c,) = self.find("g1", own, word)
             d = self.discounts[1]
             gamma = sum(x * y for x, y in zip(d[1:], (self.once[0], self.once[1], self.kinds - sum(self.once)), strict=True)) / self.unigrams
             p = (np.maximum(c - d[np.minimum(c, 3)], 0) / self.unigrams + gamma * uniform)[back]
@@ -186,9 +245,10 @@ class Model:
         for k in range(2, self.order + 1):
             cols = [h[at - k + 1 + j] for j in range(k)]
             ctx = context(cols)
-            bucket, key = bucket_of(ctx, self.n), combine(cols, seed=22)
-            (c,) = self.find(f"g{k}", bucket, key, ("n",))
-            total, n1, n2, n3 = self.find(f"c{k}", bucket, ctx, ("n", "n1", "n2", "n3"))
+            bucket = bucket_of(ctx, self.n)
+            (c,) = self.find(f"g{k}", bucket, combine(cols, seed=22))
+            one, back_ctx = np.unique(ctx, return_inverse=True)
+            total, n1, n2, n3 = (v[back_ctx] for v in self.find(f"c{k}", bucket_of(one, self.n), mix(one), 4))
             d = self.discounts[k]
             known = total > 0
             t = np.maximum(total, 1)
@@ -210,7 +270,7 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
     spark = docs.sparkSession
     n, folder = n_buckets(spark), array_folder(spark, "ngrams")
 
-    def count(batches):
+    def count(batches, which: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -219,7 +279,9 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
             h = np.concatenate([x for x, _ in held])
             at = np.concatenate([x + s for (_, x), s in zip(held, starts[:-1].tolist(), strict=True)])
             held.clear()
-            yield deal(h, at, order, n)
+            yield deal(h, at, order, n, which=which)
+            if which:
+                return
             out = deal(h[at], np.arange(len(at)), 1, n)
             yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + n, pa.int32()), out.column(1)], names=["_b", "blob"])
 
@@ -242,24 +304,21 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
             del group
             if b >= n:  # how often each token occurs, for the base and for what is known
                 (w,), c = count_unique(*unpack_grams(blobs, 1))
-                save_array(f"{folder}/raw.{b - n}.key.npy", w)
-                save_array(f"{folder}/raw.{b - n}.n.npy", small(c))
+                save_table(f"{folder}/raw.{b - n}.npy", w, c)
                 return stats_row(0, b - n, c)
             cols, c = unpack_grams(blobs, k)
             del blobs
             cols, c = count_unique(cols, c)
-            save_array(f"{folder}/g{k}.{b}.key.npy", combine(cols, seed=22) if k > 1 else cols[0])
-            save_array(f"{folder}/g{k}.{b}.n.npy", small(c))
+            save_table(f"{folder}/g{k}.{b}.npy", combine(cols, seed=22) if k > 1 else cols[0], c)
             out = stats_row(k, b, c)
             if k > 1:
                 ctx = context(cols)
-                by = np.argsort(ctx)
-                x, cc = ctx[by], c[by]
+                key = mix(ctx)
+                by = np.argsort(key)
+                x, cc = key[by], c[by]
                 cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
-                save_array(f"{folder}/c{k}.{b}.key.npy", x[cut])
-                for name, v in (("n", cc), ("n1", cc == 1), ("n2", cc == 2), ("n3", cc > 2)):
-                    save_array(f"{folder}/c{k}.{b}.{name}.npy", small(np.add.reduceat(v.astype(np.int64), cut)))
-                del ctx, by, x, cc
+                save_table(f"{folder}/c{k}.{b}.npy", x[cut], *(np.add.reduceat(v.astype(np.int64), cut) for v in (cc, cc == 1, cc == 2, cc > 2)))
+                del ctx, key, by, x, cc
                 h = np.stack(cols[1:], axis=1).ravel()
                 del cols
                 rows = deal(h, np.arange(k - 2, len(h), k - 1), k - 1, n)
@@ -270,24 +329,33 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
 
     stats: dict[int, tuple] = {}
     written: dict[int, set] = {}
-    rows = map_batches(docs.select(F.col(text).alias("text")), count, "_b int, blob binary")
+    docs, above = docs.select(F.col(text).alias("text")), []
     for k in range(order, 0, -1):
-        done = table(map_groups(rows, "_b", merge(k), f"{_STATS}, _b int, blob binary"), f"order{k}")
-        del rows
-        free_shuffles(spark)
-        names = ("n1", "n2", "n3", "n4", "grams", "total")
-        for r in done.filter("k is not null").select("k", "at", *names).collect():  # one row for each bucket
-            stats[r["k"]] = tuple(x + r[y] for x, y in zip(stats.get(r["k"], (0,) * 6), names, strict=True))
-            written.setdefault(r["k"], set()).add(r["at"])
-        rows = done.filter("k is null").select("_b", "blob")
+        parts = []
+        for which in range(ROUNDS):
+            if k == order:
+                rows = map_batches(docs, lambda it, which=which: count(it, which), "_b int, blob binary")
+            else:
+                rows = above[0]
+                for x in above[1:]:
+                    rows = rows.union(x)
+                rows = rows.filter("k is null").select("_b", "blob").filter(F.pmod("_b", F.lit(ROUNDS)) == which)
+            parts.append(table(map_groups(rows, "_b", merge(k), f"{_STATS}, _b int, blob binary"), f"order{k}"))
+            del rows
+            free_shuffles(spark)
+            names = ("n1", "n2", "n3", "n4", "grams", "total")
+            for r in parts[-1].filter("k is not null").select("k", "at", *names).collect():  # one row for each bucket
+                stats[r["k"]] = tuple(x + r[y] for x, y in zip(stats.get(r["k"], (0,) * 6), names, strict=True))
+                written.setdefault(r["k"], set()).add(r["at"])
+        for x in above:
+            drop_table(x)
+        above = parts
+    for x in above:
+        drop_table(x)
     _, _, _, _, vocabulary, total = stats.get(0, (0,) * 6)
     return Model(folder, n, order, stats, vocabulary, total, {k: frozenset(v) for k, v in written.items()})
 
 
-def small(c: np.ndarray) -> np.ndarray:
-    return c.astype(np.min_scalar_type(int(c.max(initial=0))))
-
-
 def stats_row(k: int, b: int, c: np.ndarray) -> pa.Table:
     n = [int((c == j).sum()) for j in (1, 2, 3, 4)]
     return pa.table({"k": pa.array([k], pa.int32()), "at": pa.array([b], pa.int32()), **{f"n{j + 1}": pa.array([n[j]], pa.int64()) for j in range(4)}, "grams": pa.array([len(c)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64()), "_b": pa.array([None], pa.int32()), "blob": pa.array([None], pa.binary())})
