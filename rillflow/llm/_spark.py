@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -53,8 +54,10 @@ def release(spark: SparkSession) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files of finished jobs go when the driver's garbage is collected, which else may not happen for long."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the JVM's plans are let go only after Python's frames are, and a moment later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def array_folder(spark: SparkSession, what: str) -> str:
