@@ -33,8 +33,8 @@ FAR = float("inf")
 class Codec:
     """One for each worker. path: a .model file of the BPE kind with byte fallback and identity normaliser."""
 
-    #: Words whose ids are kept (two such generations), and pairs of pieces whose compatibility is: about 10 and 15 MB.
-    MOST_WORDS, MOST_PAIRS = 40_000, 150_000
+    #: Words whose ids are kept (two such generations), and pairs of pieces whose compatibility is: about 50 MB each.
+    MOST_WORDS, MOST_PAIRS = 100_000, 400_000
 
     def __init__(self, path: str):
         import ahocorasick
