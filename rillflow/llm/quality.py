@@ -29,7 +29,7 @@ from ._train import Adam, calibrate, labelled, sigmoid, sums, unique_words
 
 MOST_ROWS, DIM, HIDDEN, INDEX_ROWS, NONZERO, BESIDE = 3000, 40, 24, 4096, 6, 2
 #: Words that a task gathers before it hands them on.
-HELD = 3_000_000
+HELD = 2_000_000
 
 
 def _index_vectors() -> np.ndarray:
@@ -130,7 +130,9 @@ def word_vectors(docs: DataFrame, text: str = "text") -> Sorted:
             h, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
+            h = h[order]
+            c = c[order]
+            del order
             cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
             times, bucket = np.diff(np.append(cut, len(h))), bucket_of(h[cut], n)
             cuts = np.searchsorted(bucket, np.arange(n + 1))
