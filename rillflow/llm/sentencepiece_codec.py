@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ class Codec:
 
     #: Words whose ids are kept (two such generations), and pairs of pieces whose compatibility is: about 50 MB each.
     MOST_WORDS, MOST_PAIRS = 100_000, 400_000
+    #: Words that stay from task to task, about 8 MB.
+    KEPT_WORDS = 30_000
 
     def __init__(self, path: str):
         import ahocorasick
@@ -191,9 +194,9 @@ _codecs: dict[str, Codec] = {}
 
 
 def forget(path: str) -> None:
-    """What a codec has learned from texts goes; its tables stay for the worker's next task."""
+    """Most words that a codec has learned from texts go; those met first, which are frequent ones, and its tables stay for the worker's next task."""
     if path in _codecs:
-        _codecs[path].words, _codecs[path].old = {}, {}
+        _codecs[path].words, _codecs[path].old = dict(islice(_codecs[path].words.items(), Codec.KEPT_WORDS)), {}
 
 
 def codec(path: str) -> Codec:
