@@ -84,7 +84,7 @@ def save_array(path: str, values: np.ndarray) -> None:
 def load_array(path: str) -> np.ndarray:
     """A file that must be there, mapped into memory."""
     try:
-        return np.load(path, mmap_mode="r")
+        return np.asarray(np.load(path, mmap_mode="r"))  # slices of a plain array cost less than those of a mapped one
     except ValueError:  # an empty array can't be mapped
         return np.load(path)
     except FileNotFoundError as e:

@@ -154,9 +154,9 @@ _KINDS = ("<u4", "<u4", "u1", "u1", "<i8", "<u4", "<i8")
 
 
 def save_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
-    """Sorted distinct hashes with one or more values each, in one file: directory, low and high bits of the hashes, codes, common values, places and values of the others."""
+    """Sorted distinct hashes with one or more values each, in one file: directory, the hashes' next 32 bits and last 8, codes, common values, places and values of the others."""
     n, w = len(keys), len(values)
-    d = max(0, n.bit_length() - 5)
+    d = max(0, n.bit_length() - 4)
     first = np.searchsorted(keys >> U64(64 - d), np.arange((1 << d) + 1, dtype=np.uint64)) if d else np.array([0, n])
     rest = keys >> U64(24 - d) & U64((1 << 40) - 1)
     one = combine([v.astype(np.uint64) for v in values]) if w > 1 else values[0].astype(np.uint64)
@@ -167,7 +167,7 @@ def save_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
     code = np.minimum(rank[back], 255).astype(np.uint8)
     other = np.flatnonzero(code == 255)
     rows = np.stack(values, axis=1).astype(np.int64)
-    parts = [first, rest & U64(0xFFFFFFFF), rest >> U64(32), code, rows[at[by[:255]]].ravel(), other, rows[other].ravel()]
+    parts = [first, rest >> U64(8), rest & U64(0xFF), code, rows[at[by[:255]]].ravel(), other, rows[other].ravel()]
     parts = [np.ascontiguousarray(x.astype(k)) for x, k in zip(parts, _KINDS, strict=True)]
     size = [-(-x.nbytes // 8) * 8 for x in parts]
     head = np.array([w, d, *(x for p, o in zip(parts, np.cumsum([0, *size[:-1]]), strict=True) for x in (int(o), len(p)))], dtype=np.int64)
@@ -178,25 +178,23 @@ def lookup(data: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The values of each hash in such a file, a column each; 0 where it isn't there."""
     head = np.frombuffer(data[: 8 * (2 + 2 * len(_KINDS))].tobytes(), dtype=np.int64)
     w, d, at = int(head[0]), int(head[1]), len(head) * 8
-    first, low, high, code, common, other, rare = (data[at + o : at + o + n * np.dtype(k).itemsize].view(k) for k, o, n in zip(_KINDS, head[2::2].tolist(), head[3::2].tolist(), strict=True))
+    first, high, low, code, common, other, rare = (data[at + o : at + o + n * np.dtype(k).itemsize].view(k) for k, o, n in zip(_KINDS, head[2::2].tolist(), head[3::2].tolist(), strict=True))
     out = np.zeros((len(keys), w), dtype=np.int64)
-    if not len(low) or not len(keys):
+    if not len(high) or not len(keys):
         return out
     cell = (keys >> U64(64 - d)).astype(np.int64) if d else np.zeros(len(keys), np.int64)
-    want = (keys >> U64(24 - d) & U64((1 << 40) - 1)).astype(np.int64)
-    lo, hi = first[cell].astype(np.int64), first[cell + 1].astype(np.int64)
-    end = hi.copy()
-
-    def value(i: np.ndarray) -> np.ndarray:
-        return low[i].astype(np.int64) | high[i].astype(np.int64) << 32
-
-    while (open_ := np.flatnonzero(lo < hi)).size:
-        mid = (lo[open_] + hi[open_]) >> 1
-        less = value(mid) < want[open_]
-        lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
-    hit = np.flatnonzero(lo < end)
-    hit = hit[value(lo[hit]) == want[hit]]
-    place = lo[hit]
+    want, last = (keys >> U64(32 - d)).astype(np.uint32), (keys >> U64(24 - d)).astype(np.uint8)
+    i, end = first[cell].astype(np.int64), first[cell + 1].astype(np.int64)
+    for bit in range(int((end - i).max()).bit_length() - 1, -1, -1):  # all cells at once, in halving steps
+        probe = i + ((1 << bit) - 1)
+        i += ((high.take(probe, mode="clip") < want) & (probe < end)).astype(np.int64) << bit
+    hit = np.flatnonzero((high.take(i, mode="clip") == want) & (i < end))
+    place = i[hit]
+    while (off := np.flatnonzero(low[place] != last[hit])).size:  # hashes that differ in their last bits alone
+        place[off] += 1
+        more = np.ones(len(hit), dtype=bool)
+        more[off] = (place[off] < end[hit[off]]) & (high.take(place[off], mode="clip") == want[hit[off]])
+        hit, place = hit[more], place[more]
     c = code[place]
     usual = c < 255
     out[hit[usual]] = common.reshape(-1, w)[c[usual]]
@@ -221,7 +219,8 @@ class Model:
     def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, width: int = 1) -> list[np.ndarray]:
         """The values of each key, 0 where it isn't there."""
         out = np.zeros((len(keys), width), dtype=np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(keys)  # a file is read in its own order
+        order = order[np.argsort(bucket[order].astype(np.min_scalar_type(self.n)), kind="stable")]
         cuts = np.searchsorted(bucket[order], np.arange(self.n + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             if b in self.written.get(0 if kind == "raw" else int(kind[1:]), ()):
