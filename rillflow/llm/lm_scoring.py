@@ -9,6 +9,9 @@ the buckets, so that the shuffle on disk is that part of the whole; what a pass
 discounts come from the counts of counts, of which there are four an order. Workers map the arrays into memory and look sorted
 hashes up in them; what a machine holds doesn't grow with the corpus.
 
+A context that was seen once isn't kept: it is an n-gram of the order below, whose array has it, and its total and its number of
+continuations seen once are 1. (One of begins alone is in no array below and is always kept.)
+
 In an array a hash is kept as 40 bits behind the few first ones, which a directory has, and values as one byte: the
 number of one of the 255 commonest, or a mark for one in a list of the others.
 
@@ -240,18 +243,25 @@ class Model:
             gamma = sum(x * y for x, y in zip(d[1:], (self.once[0], self.once[1], self.kinds - sum(self.once)), strict=True)) / self.unigrams
             p = (np.maximum(c - d[np.minimum(c, 3)], 0) / self.unigrams + gamma * uniform)[back]
         else:
-            p = np.full(len(at), uniform)
+            c, p = np.zeros(len(word), dtype=np.int64), np.full(len(at), uniform)
+        first, c = h[at - 1] == BEGIN, c[back]
         for k in range(2, self.order + 1):
             cols = [h[at - k + 1 + j] for j in range(k)]
             ctx = context(cols)
-            bucket = bucket_of(ctx, self.n)
-            (c,) = self.find(f"g{k}", bucket, combine(cols, seed=22))
-            one, back_ctx = np.unique(ctx, return_inverse=True)
+            before = np.zeros(len(at), dtype=bool)
+            before[1:] = c[:-1] > 0  # the context ends the text's last token, so it's known if that one's words are
+            known = np.flatnonzero(first | before)
+            ctx, cols = ctx[known], [x[known] for x in cols]
+            one, back_ctx = np.unique(ctx, return_inverse=True) if k == 2 else (ctx, slice(None))
             total, n1, n2, n3 = (v[back_ctx] for v in self.find(f"c{k}", bucket_of(one, self.n), mix(one), 4))
+            once = (total == 0) & ~first[known]
+            total, n1 = total + once, n1 + once
+            c = np.zeros(len(at), dtype=np.int64)
+            (c[known],) = self.find(f"g{k}", bucket_of(ctx, self.n), combine(cols, seed=22))
+            known, c_known = known[total > 0], c[known][total > 0]
+            total, n1, n2, n3 = (v[total > 0] for v in (total, n1, n2, n3))
             d = self.discounts[k]
-            known = total > 0
-            t = np.maximum(total, 1)
-            p = np.where(known, (np.maximum(c - d[np.minimum(c, 3)], 0) + (d[1] * n1 + d[2] * n2 + d[3] * n3) * p) / t, p)
+            p[known] = (np.maximum(c_known - d[np.minimum(c_known, 3)], 0) + (d[1] * n1 + d[2] * n2 + d[3] * n3) * p[known]) / total
         return p, raw[back]
 
 
@@ -316,8 +326,10 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
                 by = np.argsort(key)
                 x, cc = key[by], c[by]
                 cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
-                save_table(f"{folder}/c{k}.{b}.npy", x[cut], *(np.add.reduceat(v.astype(np.int64), cut) for v in (cc, cc == 1, cc == 2, cc > 2)))
-                del ctx, key, by, x, cc
+                sums = [np.add.reduceat(v.astype(np.int64), cut) for v in (cc, cc == 1, cc == 2, cc > 2)] if len(cut) else [c[:0]] * 4
+                told = (sums[0] > 1) | (cols[-2][by[cut]] == BEGIN)
+                save_table(f"{folder}/c{k}.{b}.npy", x[cut][told], *(v[told] for v in sums))
+                del ctx, key, by, x, cc, sums
                 h = np.stack(cols[1:], axis=1).ravel()
                 del cols
                 rows = deal(h, np.arange(k - 2, len(h), k - 1), k - 1, n)
