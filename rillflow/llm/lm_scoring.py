@@ -81,8 +81,16 @@ def planes(x: np.ndarray) -> bytes:
 
 def pack(words: np.ndarray, ids: list[np.ndarray], c: np.ndarray) -> bytes:
     """N-grams as numbers of words, with the hashes of the words that they have and their counts."""
-    own = np.unique(np.concatenate(ids))
-    body = b"".join([words[own].tobytes(), *(planes(np.searchsorted(own, i)) for i in ids), planes(c)])
+    if len(words) < 8 * len(c):
+        seen = np.zeros(len(words), dtype=bool)
+        for i in ids:
+            seen[i] = True
+        own, place = np.flatnonzero(seen), np.cumsum(seen) - 1
+        small = [place[i] for i in ids]
+    else:  # few n-grams of many words
+        own = np.unique(np.concatenate(ids))
+        small = [np.searchsorted(own, i) for i in ids]
+    body = b"".join([words[own].tobytes(), *(planes(i) for i in small), planes(c)])
     return np.array([len(own), len(c)], "<u4").tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
@@ -135,12 +143,11 @@ def deal(h: np.ndarray, at: np.ndarray, k: int, n: int, times: np.ndarray | None
         cols = [c[cut] for c in cols]
     c = np.diff(np.append(cut, size)) if times is None else np.add.reduceat(times, cut) if len(cut) else times[:0]
     bucket = bucket_of(context([words[x] for x in cols] if k > 1 else [words[cols[0]]]), n)
-    order = np.argsort(bucket, kind="stable")
+    order = np.arange(len(bucket)) if which is None else np.flatnonzero(bucket % ROUNDS == which)
+    order = order[np.argsort(bucket[order].astype(np.min_scalar_type(n)), kind="stable")]
     cuts = np.searchsorted(bucket[order], np.arange(n + 1))
     b, blobs = [], []
     for i in np.flatnonzero(np.diff(cuts)).tolist():
-        if which is not None and i % ROUNDS != which:
-            continue
         for lo in range(int(cuts[i]), int(cuts[i + 1]), MOST_PACKED):
             rows = order[lo : min(lo + MOST_PACKED, int(cuts[i + 1]))]
             b.append(i)
