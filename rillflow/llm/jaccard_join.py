@@ -5,9 +5,12 @@ their distance is at most t = 0.1.
 
 1. Documents with equal sets become one point, so copies cost nothing more.
 2. Nearly all points are at distance 1 from any pivot, where pivots tell nothing. So points first fall into groups that
-   can't have links between them: a point's shingles are ordered (those that many points share go last, then by hash);
-   two neighbours must share at least l of their first n - ceil(0.9 n) + l. Pairs that do, or that are among the many holders of
+   can't have links between them: a point's shingles are ordered (those that many points share go last, the commonest at the end,
+   then by hash); two neighbours must share at least l of their first n - ceil(0.9 n) + l. Pairs that do, or that are among the many holders of
    one such shingle, are in one group; a point in no group has no neighbour and leaves. No link is taken from this step.
+   Holders are counted over all points, by 24 bits of a shingle in its bucket: what order comes out is the same for all points,
+   and how many points share a shingle doesn't change with the size of the input or of a task. So a shingle that many hold is among the first
+   ones of a point only if it has hardly any rarer ones.
 3. A group is a region. A region of more than REGION points is cut by pivots drawn from it: a point goes to the Voronoi region of its
    nearest pivot, and is replicated to that of any other pivot which is farther by 2t at most; by the triangle inequality
    a neighbour of a point in a region is in it or replicated to it. This is done again, by Spark over all large regions at
@@ -45,8 +48,10 @@ COUNTED = 128
 REGION, PIVOTS, LEAF, CELL = 400, 8, 24, 400
 #: Regions are worth cutting if the squares of their sizes then sum to so much of what they were at most; so each cut makes less to compare.
 CUTS = 0.8
-#: A shingle goes last if so many points have it, or this part of all points; the second bounds their number.
-FREQUENT, FREQUENT_PART = 32, 1e-4
+#: Shingles that so many points have go last, by their numbers of holders. It doesn't grow with the input, as holders of one shingle do.
+FREQUENT = 8
+#: Shingles that a task counts at once; bits by which a bucket tells them apart; buckets for each file of the frequent ones.
+HELD, CELL_BITS, BUCKETS_A_FILE = 4_000_000, 24, 16
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,6 +128,35 @@ def _chunks(bucket: np.ndarray, columns: list[np.ndarray], n: int, most: int = 1
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], names=["_b", "blob"])
 
 
+def cells_of(h: np.ndarray, n: int) -> np.ndarray:
+    """(bucket of n, cell in it) of shingles, as one number."""
+    return bucket_of(h, n).astype(np.uint64) << U64(CELL_BITS) | (h & U64(0xFFFFFFFF)) >> U64(32 - CELL_BITS)
+
+
+def pack_cells(cells: np.ndarray, n: int) -> pa.RecordBatch:
+    """Rows (bucket, blob): a bucket's sorted cells as steps from one to the next, first bytes first; one that is met again is a step of 0."""
+    cells = np.sort(cells)
+    cuts = np.searchsorted(cells, np.arange(n + 1, dtype=np.uint64) << U64(CELL_BITS))
+    b = np.flatnonzero(np.diff(cuts))
+    blobs = []
+    for i in b.tolist():
+        own = (cells[cuts[i] : cuts[i + 1]] & U64((1 << CELL_BITS) - 1)).astype(np.uint32)
+        step = np.diff(own, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+        blobs.append(np.array([len(own)], "<u4").tobytes() + pa.compress(np.ascontiguousarray(step[:, : -(-CELL_BITS // 8)].T).tobytes(), codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], names=["_b", "blob"])
+
+
+def unpack_cells(blobs: list[bytes]) -> np.ndarray:
+    """All cells of such blobs of a bucket, sorted."""
+    out, width = [np.empty(0, np.uint32)], -(-CELL_BITS // 8)
+    for blob in blobs:
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        step = np.zeros((n, 4), np.uint8)
+        step[:, :width] = np.frombuffer(pa.decompress(blob[4:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+        out.append(np.cumsum(step.view("<u4")[:, 0], dtype=np.uint32))
+    return np.sort(np.concatenate(out))
+
+
 def unpack(blobs, dtypes: list) -> list[np.ndarray]:
     """The columns of such rows."""
     width = sum(np.dtype(d).itemsize for d in dtypes)
@@ -233,7 +267,6 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
     points = table(map_batches(docs, make, "doc_id long, node long, n_shingles long"), "points")
     # the row that speaks for a point; an id that is null still needs one
     speaker = write_sorted(points.filter("n_shingles > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("id")), "speakers")
-    frequent_at = max(FREQUENT, int(speaker.size * FREQUENT_PART))
 
     def own(part: pa.RecordBatch, sets: list[np.ndarray], seen: set | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(which rows speak for their points, all signatures)."""
@@ -247,25 +280,27 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
 
     def count(batches):
         held, total = [], 0
-
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            h, n = h[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n, pa.int64())], names=["h", "n"])
-
         for batch in batches:
             for part in pieces(batch):
                 sets = shingle_sets(part, shingle)
                 at, _ = own(part, sets)
-                held.extend(sets[i] for i in at)
+                held.extend(cells_of(sets[i], n_b) for i in at)
                 total += sum(len(sets[i]) for i in at)
-                if total > 4_000_000:
-                    yield flush()
+                if total > HELD:
+                    yield pack_cells(np.concatenate(held), n_b)
                     held, total = [], 0
         if held:
-            yield flush()
+            yield pack_cells(np.concatenate(held), n_b)
+
+    def many(group: pa.Table) -> pa.Table:
+        b = group.column("_b")[0].as_py()
+        cell = unpack_cells(group.column("blob").to_pylist())
+        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+        n = np.diff(np.append(cut, len(cell)))
+        cell, n = cell[cut[n >= FREQUENT]], n[n >= FREQUENT]
+        return pa.table({"h": signed(mix(U64(b << CELL_BITS) | cell.astype(np.uint64))), "n": n.astype(np.int64)})
 
-    often = write_sorted(map_batches(docs, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent_at).select("h"), "frequent", 1)
+    often = write_sorted(map_groups(map_batches(docs, count, "_b int, blob binary"), "_b", many, "h long, n long"), "frequent", -(-n_b // BUCKETS_A_FILE))
 
     def prefixes(batches):
         for batch in batches:
@@ -276,14 +311,16 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
                 if not len(at):
                     continue
                 flat = np.concatenate([sets[i] for i in at])
-                last, _ = often.lookup(flat)
+                hit, got = often.lookup(mix(cells_of(flat, n_b)))
+                holders = np.zeros(len(flat), np.int64)
+                holders[hit] = got["n"]
                 lo = 0
                 for i in at:
                     s, n = sets[i], len(sets[i])
-                    late = last[lo : lo + n]
+                    late = np.argsort(holders[lo : lo + n], kind="stable")
                     lo += n
                     least = int(limit.least(n))
-                    first = np.concatenate((s[~late], s[late]))[: n - least + min(COMMON, least)]
+                    first = s[late[: n - least + min(COMMON, least)]]
                     keys.append(first)
                     nodes.append(np.full(len(first), sig[i]))
                     sizes.append(np.full(len(first), n, dtype=np.int32))

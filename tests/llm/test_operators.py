@@ -114,6 +114,28 @@ def test_jaccard_join_of_dense_groups(spark, monkeypatch, sizes):
     same(jaccard_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")), ["doc_id", "n_shingles", "component_id"], brute.jaccard(made))
 
 
+def test_shingles_that_many_share_make_no_groups(spark, monkeypatch):
+    r, made, groups, table = random.Random(3), [], [], jaccard_join.table
+    for i in range(60):  # each phrase is in some 15 texts, more than are counted by pairs here, and most of a text is its own
+        phrases = [" ".join(f"p{p}w{j}" for j in range(6)) for p in r.sample(range(40), 10)]
+        made.append((i, " ".join([*(f"own{i}x{j}" for j in range(60)), *phrases])))
+    made.append((60, made[7][1].replace("own7x3 ", "other ")))
+    monkeypatch.setattr(jaccard_join, "COUNTED", 10)
+    monkeypatch.setattr(jaccard_join, "table", lambda df, what: groups.append(table(df, what)) or groups[-1] if what == "groups" else table(df, what))
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(30)  # a task sees a shingle once or twice
+    same(jaccard_join.jaccard_components(docs), ["doc_id", "n_shingles", "component_id"], brute.jaccard(made))
+    assert groups[0].count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 12, 4000])
+def test_cells_of_shingles_are_packed_whole(n):
+    h = np.random.default_rng(n).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    cells = jaccard_join.cells_of(np.concatenate((h, h[:700], h[:3])), n)
+    rows = jaccard_join.pack_cells(cells, n).to_pylist()
+    assert [x["_b"] << jaccard_join.CELL_BITS | c for x in rows for c in jaccard_join.unpack_cells([x["blob"]]).tolist()] == sorted(cells.tolist())
+    assert jaccard_join.unpack_cells([rows[0]["blob"]] * 2).tolist() == sorted(jaccard_join.unpack_cells([rows[0]["blob"]]).tolist() * 2)
+
+
 @pytest.mark.parametrize("leaf,pivots,cuts,cell", [(24, 8, 0.8, 400), (2, 3, 0.95, 7), (2, 2, 0.0, 5), (4, 5, 0.9, 400)])
 def test_a_region_joins_what_all_pairs_do(monkeypatch, leaf, pivots, cuts, cell):
     for k, v in (("LEAF", leaf), ("PIVOTS", pivots), ("CUTS", cuts), ("CELL", cell)):
