@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, free_shuffles, map_batches, map_groups, n_buckets, table
+from ._spark import components, drop_table, free_shuffles, map_batches, map_groups, n_buckets, table
 from ._store import bucket_of, write_sorted
 from ._text import NOT_SPACE, U64, combine, mix, pieces, signed, words
 
@@ -367,6 +367,7 @@ def jaccard_links(docs: DataFrame, shingle: int = 3, limit: Threshold | None = N
     pairs = blocks.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("times").alias("times"), F.min(F.least("na", "nb")).alias("na"), F.max(F.greatest("na", "nb")).alias("nb")).filter(F.col("times") >= low).select("a", "b")
     group = components(pairs)
     regions = table(group.select("node", F.col("component").alias("region")).union(group.select(F.col("component").alias("node"), F.col("component").alias("region")).distinct()).distinct(), "groups")
+    drop_table(blocks)
     wanted = write_sorted(regions.select("node").distinct(), "points")
     free_shuffles(spark)
 

@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from rillflow.llm import quality
+from rillflow.llm import jaccard_join, quality
 from rillflow.llm.queries import tokenizer_path
 
 from . import brute
@@ -104,6 +104,19 @@ def test_near_copies_keep_one_row_of_each_group(spark, folder):
     check_copies(corpus_pipeline.drop_near_copies(spark, load(spark, folder), folder).collect(), made())
 
 
+def test_common_phrases_make_no_groups_of_near_copies(spark, folder, monkeypatch):
+    own, groups, table = [], [], jaccard_join.table
+    for i in range(60):  # each phrase is in 15 texts, more than are counted by pairs here, and most of a text is its own
+        phrases = [" ".join(f"p{p}w{j}" for j in range(8)) for p in range(i % 4, 40, 4)]
+        own.append((i, " ".join([*(f"own{i}x{j}" for j in range(60)), *phrases]), "xx", "s", 1))
+    own.append((60, own[7][1].replace("own7x3 ", "other "), "xx", "s", 1))
+    monkeypatch.setattr(jaccard_join, "COUNTED", 10)
+    monkeypatch.setattr(jaccard_join, "table", lambda df, what: groups.append(sorted(x[0] for x in table(df, what).groupBy("region").count().select("count").collect())) or table(df, what) if what == "groups" else table(df, what))
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(own, SCHEMA).repartition(30), folder)
+    assert sorted(tuple(x) for x in got.collect()) == own[:60]
+    assert groups == [[2]]
+
+
 def test_leaks_and_tokens(spark, folder):
     docs = load(spark, folder)
     want = plain_leaks(spark, folder, made())
