@@ -12,6 +12,10 @@ hashes up in them; what a machine holds doesn't grow with the corpus.
 A context that was seen once isn't kept: it is an n-gram of the order below, whose array has it, and its total and its number of
 continuations seen once are 1. (One of begins alone is in no array below and is always kept.)
 
+Buckets are as large as a task can merge, so their number follows the corpus. Once all are written, the arrays of neighbouring buckets
+are put one after another into SHELVES files at most for each kind, and hashes of all of a file's buckets are searched together: what it costs to
+look up a piece of text doesn't grow with the number of buckets.
+
 In an array a hash is kept as 40 bits behind the few first ones, which a directory has, and values as one byte: the
 number of one of the 255 commonest, or a mark for one in a list of the others.
 
@@ -25,12 +29,15 @@ probability of about 2**-36 (16 hashes of a directory's cell, 40 bits); other co
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Carried, array_folder, drop_table, free_shuffles, map_batches, map_groups, n_buckets, save_array, table
+from ._spark import Carried, array_folder, drop_table, free_shuffles, load_array, map_batches, map_groups, n_buckets, save_array, table
 from ._store import Open, bucket_of
 from ._text import NOT_SPACE, U64, combine, mix, pieces, words
 
@@ -39,6 +46,8 @@ END, BEGIN = U64(0xE4D0E4D0E4D0E4D1), U64(0xBE61BE61BE61BE61)
 HELD = 3_000_000
 #: Passes over the texts, or over the order above, in which an order is counted.
 ROUNDS = 2
+#: Files that hold the arrays of one kind.
+SHELVES = 16
 #: N-grams of one row that is handed on.
 MOST_PACKED = 1 << 18
 _STATS = "k int, at int, n1 long, n2 long, n3 long, n4 long, grams long, total long"
@@ -163,7 +172,7 @@ def context(cols: list[np.ndarray]) -> np.ndarray:
 _KINDS = ("<u4", "<u4", "u1", "u1", "<i8", "<u4", "<i8")
 
 
-def save_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
+def table_bytes(keys: np.ndarray, *values: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes with one or more values each, in one file: directory, the hashes' next 32 bits and last 8, codes, common values, places and values of the others."""
     n, w = len(keys), len(values)
     d = max(0, n.bit_length() - 4)
@@ -181,19 +190,57 @@ def save_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
     parts = [np.ascontiguousarray(x.astype(k)) for x, k in zip(parts, _KINDS, strict=True)]
     size = [-(-x.nbytes // 8) * 8 for x in parts]
     head = np.array([w, d, *(x for p, o in zip(parts, np.cumsum([0, *size[:-1]]), strict=True) for x in (int(o), len(p)))], dtype=np.int64)
-    save_array(path, np.frombuffer(head.tobytes() + b"".join(x.tobytes() + bytes(s - x.nbytes) for x, s in zip(parts, size, strict=True)), dtype=np.uint8))
+    return np.frombuffer(head.tobytes() + b"".join(x.tobytes() + bytes(s - x.nbytes) for x, s in zip(parts, size, strict=True)), dtype=np.uint8)
 
 
-def lookup(data: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The values of each hash in such a file, a column each; 0 where it isn't there."""
-    head = np.frombuffer(data[: 8 * (2 + 2 * len(_KINDS))].tobytes(), dtype=np.int64)
-    w, d, at = int(head[0]), int(head[1]), len(head) * 8
-    first, high, low, code, common, other, rare = (data[at + o : at + o + n * np.dtype(k).itemsize].view(k) for k, o, n in zip(_KINDS, head[2::2].tolist(), head[3::2].tolist(), strict=True))
+def save_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
+    save_array(path, table_bytes(keys, *values))
+
+
+def table_parts(data: np.ndarray) -> tuple[int, int, list[np.ndarray]]:
+    """(values of a hash, bits of the directory, arrays) of such a table."""
+    head = data[: 8 * (2 + 2 * len(_KINDS))].view(np.int64)
+    at = len(head) * 8
+    return int(head[0]), int(head[1]), [data[at + o : at + o + n * np.dtype(k).itemsize].view(k) for k, o, n in zip(_KINDS, head[2::2].tolist(), head[3::2].tolist(), strict=True)]
+
+
+def join_tables(tables: list[np.ndarray], path: str) -> None:
+    """One file of such tables of as many values. Its head: values of a hash, tables, place and length of each array, and of each table the
+    bits of its directory, where that begins, and where its common values do. Written array by array, so tables may outgrow memory."""
+    parsed = [table_parts(t) for t in tables]
+    n = np.array([[len(x) for x in p] for _, _, p in parsed], dtype=np.int64)
+    base, w = np.cumsum(n, axis=0) - n, parsed[0][0]
+    size = [-(-int(x) * np.dtype(k).itemsize // 8) * 8 for x, k in zip(n.sum(axis=0), _KINDS, strict=True)]
+    starts = 8 * (2 + 2 * len(_KINDS) + 3 * len(tables)) + np.cumsum([0, *size])
+    head = np.array([w, len(tables), *(x for o, m in zip(starts.tolist(), n.sum(axis=0).tolist(), strict=False) for x in (o, m)), *(d for _, d, _ in parsed), *base[:, 0].tolist(), *(base[:, 4] // w).tolist()], dtype=np.int64)
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    out = np.lib.format.open_memmap(aside, mode="w+", dtype=np.uint8, shape=(int(starts[-1]),))
+    out[: head.nbytes] = head.view(np.uint8)
+    for j, k in enumerate(_KINDS):
+        whole = out[starts[j] : starts[j] + int(n[:, j].sum()) * np.dtype(k).itemsize].view(k)
+        for i, (_, _, p) in enumerate(parsed):
+            to = whole[base[i, j] : base[i, j] + n[i, j]]
+            to[:] = p[j]
+            if j in (0, 5):  # places among the table's hashes
+                to += np.dtype(k).type(base[i, 1])
+    out.flush()
+    del out, whole, to
+    os.replace(aside, path)
+
+
+def lookup(data: np.ndarray, keys: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The values of each hash in its table (which) of such a file, a column each; 0 where it isn't there."""
+    m = 2 + 2 * len(_KINDS)
+    w, tables = data[:16].view(np.int64).tolist()
+    head = np.frombuffer(data[: 8 * (m + 3 * tables)].tobytes(), dtype=np.int64)
+    first, high, low, code, common, other, rare = (data[o : o + n * np.dtype(k).itemsize].view(k) for k, o, n in zip(_KINDS, head[2:m:2].tolist(), head[3:m:2].tolist(), strict=True))
     out = np.zeros((len(keys), w), dtype=np.int64)
     if not len(high) or not len(keys):
         return out
-    cell = (keys >> U64(64 - d)).astype(np.int64) if d else np.zeros(len(keys), np.int64)
-    want, last = (keys >> U64(32 - d)).astype(np.uint32), (keys >> U64(24 - d)).astype(np.uint8)
+    bits, begin, usuals = head[m:].reshape(3, tables)
+    d = bits.astype(np.uint64)[which]
+    cell = (keys >> U64(1) >> (U64(63) - d)).astype(np.int64) + begin[which]
+    want, last = (keys >> (U64(32) - d)).astype(np.uint32), (keys >> (U64(24) - d)).astype(np.uint8)
     i, end = first[cell].astype(np.int64), first[cell + 1].astype(np.int64)
     for bit in range(int((end - i).max()).bit_length() - 1, -1, -1):  # all cells at once, in halving steps
         probe = i + ((1 << bit) - 1)
@@ -207,16 +254,33 @@ def lookup(data: np.ndarray, keys: np.ndarray) -> np.ndarray:
         hit, place = hit[more], place[more]
     c = code[place]
     usual = c < 255
-    out[hit[usual]] = common.reshape(-1, w)[c[usual]]
+    out[hit[usual]] = common.reshape(-1, w)[usuals[which[hit[usual]]] + c[usual]]
     if not usual.all():
-        out[hit[~usual]] = rare.reshape(-1, w)[np.searchsorted(other, place[~usual])]
+        out[hit[~usual]] = rare.reshape(-1, w)[np.searchsorted(other, place[~usual].astype(other.dtype))]
     return out
 
 
+def shelve(spark, folder: str, n: int, kind: str, width: int, written: frozenset) -> None:
+    """Joins the files of a kind's buckets into its shelves; buckets that nothing was written for are empty. The buckets' files then go."""
+    each = -(-n // SHELVES)
+    empty = np.empty(0, np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for s in batch.column("id").to_pylist():
+                own = range(s * each, min(n, s * each + each))
+                join_tables([load_array(f"{folder}/{kind}.{b}.npy") if b in written else table_bytes(empty.astype(np.uint64), *[empty] * width) for b in own], f"{folder}/{kind}.shelf{s}.npy")
+            yield batch
+
+    shelves = -(-n // each)
+    map_batches(spark.range(0, shelves, 1, shelves), run, "id long").count()
+    for b in written:
+        os.remove(f"{folder}/{kind}.{b}.npy")
+
+
 class Model:
-    def __init__(self, folder: str, n: int, order: int, stats: dict[int, tuple], vocabulary: int, total: int, written: dict[int, frozenset]):
-        """written: for each order (0: the tokens) the buckets that have files."""
-        self.folder, self.n, self.order, self.vocabulary, self.total, self.written, self.open = folder, n, order, vocabulary, total, written, Open()
+    def __init__(self, folder: str, n: int, order: int, stats: dict[int, tuple], vocabulary: int, total: int):
+        self.folder, self.n, self.order, self.vocabulary, self.total, self.open = folder, n, order, vocabulary, total, Open()
         self.discounts, self.unigrams = {}, 0
         for k in range(1, order + 1):
             n1, n2, n3, n4, _, mass = stats.get(k, (0,) * 6)
@@ -228,14 +292,13 @@ class Model:
 
     def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, width: int = 1) -> list[np.ndarray]:
         """The values of each key, 0 where it isn't there."""
-        out = np.zeros((len(keys), width), dtype=np.int64)
-        order = np.argsort(keys)  # a file is read in its own order
+        out, each = np.zeros((len(keys), width), dtype=np.int64), -(-self.n // SHELVES)
+        order = np.argsort(keys)  # a table is read in its own order
         order = order[np.argsort(bucket[order].astype(np.min_scalar_type(self.n)), kind="stable")]
-        cuts = np.searchsorted(bucket[order], np.arange(self.n + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            if b in self.written.get(0 if kind == "raw" else int(kind[1:]), ()):
-                rows = order[cuts[b] : cuts[b + 1]]
-                out[rows] = lookup(self.open.get(f"{self.folder}/{kind}.{b}.npy"), keys[rows])
+        cuts = np.searchsorted(bucket[order], np.arange(0, self.n + each, each))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = order[cuts[s] : cuts[s + 1]]
+            out[rows] = lookup(self.open.get(f"{self.folder}/{kind}.shelf{s}.npy"), keys[rows], bucket[rows] - s * each)
         return list(out.T)
 
     def probabilities(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +434,10 @@ def fit(docs: DataFrame, order: int = 3, text: str = "text") -> Model:
     for x in above:
         drop_table(x)
     _, _, _, _, vocabulary, total = stats.get(0, (0,) * 6)
-    return Model(folder, n, order, stats, vocabulary, total, {k: frozenset(v) for k, v in written.items()})
+    for k in range(order, -1, -1):  # one kind at a time, so that only that one is on disk twice
+        for kind, width in ([("raw", 1)] if k == 0 else [("g1", 1)] if k == 1 else [(f"c{k}", 4), (f"g{k}", 1)]):
+            shelve(spark, folder, n, kind, width, frozenset(written.get(k, ())))
+    return Model(folder, n, order, stats, vocabulary, total)
 
 
 def stats_row(k: int, b: int, c: np.ndarray) -> pa.Table:

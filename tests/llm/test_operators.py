@@ -196,6 +196,37 @@ def test_lm_scoring_is_registered_with_trigrams(spark, tmp_path):
         assert a[:3] == b[:3] and np.allclose(a[3], b[3], rtol=1e-8)
 
 
+def test_tables_of_many_buckets_are_searched_together(tmp_path):
+    r, tables, want = np.random.default_rng(8), [], []
+    for b, n in enumerate((0, 1, 5000, 40, 0, 900)):
+        keys = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        values = [r.integers(1, 700, len(keys)), r.integers(0, 3, len(keys))]  # more kinds than have codes
+        tables.append(lm_scoring.table_bytes(keys, *values))
+        want += [(int(k), b, int(x), int(y)) for k, x, y in zip(keys, *values, strict=True)]
+    lm_scoring.join_tables(tables, f"{tmp_path}/shelf.npy")
+    keys, which, x, y = (np.array([w[i] for w in want], dtype=np.uint64 if i == 0 else np.int64) for i in range(4))
+    data = np.load(f"{tmp_path}/shelf.npy", mmap_mode="r")
+    assert (lm_scoring.lookup(np.asarray(data), keys, which) == np.stack((x, y), axis=1)).all()
+    assert not lm_scoring.lookup(np.asarray(data), keys, (which + 1) % 6).any()
+
+
+def test_the_files_a_piece_reads_do_not_grow_with_the_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    texts = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows()])], names=["text"])
+    found = []
+    for n in ("4", "70"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            model = lm_scoring.fit(docs)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        h, start, m = lm_scoring.tokens(texts, 3)
+        found.append(model.probabilities(h, lm_scoring.windows(h, start, m)))
+        assert len(model.open._files) <= 6 * 16
+    assert all((x == y).all() for x, y in zip(*found, strict=True))
+
+
 def test_ngrams_are_packed_whole():
     r = np.random.default_rng(1)
     for k, n in ((1, 40), (3, 5000), (5, 30_000)):  # of 30,000 words five take more than 64 bits
